@@ -6,13 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, sharding, warc
+from . import exact_dedup, language_id, packing, sharding, store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    store.bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is on this machine; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_error_correcting_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs)
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(language_id.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "runner_up", "ambiguous")
+
+
+def op5_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"))
@@ -30,7 +49,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_hypergeometric_shards, op9_perfect_hash_dedup, op10_warc_round_trip)
+    f.__name__: f for f in (op1_error_correcting_language_id, op5_order_preserving_packing, op7_hypergeometric_shards, op9_perfect_hash_dedup, op10_warc_round_trip)
 }
 
 

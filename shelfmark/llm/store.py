@@ -23,3 +23,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches between the JVM and Python hold about so many bytes, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 512)
