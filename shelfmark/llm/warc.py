@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .buffers import slices
 from .store import materialise
 
-VOLUME_BYTES = 8 << 20
+VOLUME_BYTES = 2 << 20
 #: The date all records carry: results must not depend on the clock.
 WRITTEN = "2024-01-01T00:00:00Z"
 VOLUMES = "archive string, records long, content binary"
@@ -70,13 +71,14 @@ def pack_volumes(level: int, volume_bytes: int) -> Callable[[Iterator[pa.RecordB
             return pa.RecordBatch.from_pydict({"archive": [f"part-{part:06d}-{volume:05d}.warc.gz"], "records": [len(held)], "content": [b"".join(held)]})
 
         for batch in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
-                clean = (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
-                held.append(_record(page_id, clean, payload or b"", base64.b32encode(bytes.fromhex(digest)).decode(), refers_to, level))
-                size += len(held[-1])
-                if size >= volume_bytes:
-                    yield flush()
-                    held, size, volume = [], 0, volume + 1
+            for rows in slices(batch, "payload"):
+                for page_id, url, payload, digest, refers_to in zip(*(rows.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
+                    clean = (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A")
+                    held.append(_record(page_id, clean, payload or b"", base64.b32encode(bytes.fromhex(digest)).decode(), refers_to, level))
+                    size += len(held[-1])
+                    if size >= volume_bytes:
+                        yield flush()
+                        held, size, volume = [], 0, volume + 1
         if held:
             yield flush()
 
