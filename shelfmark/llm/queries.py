@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, packing, sharding, store, warc
+from . import exact_dedup, flac, language_id, packing, sharding, store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,20 @@ def op1_error_correcting_language_id(spark: SparkSession, sf_dir: str) -> DataFr
     return found.select("doc_id", F.coalesce(language_id.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "runner_up", "ambiguous")
 
 
+def op2_flac_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = flac.from_flac(flac.to_flac(table(spark, sf_dir, "documents")))
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op5_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -49,7 +63,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_error_correcting_language_id, op5_order_preserving_packing, op7_hypergeometric_shards, op9_perfect_hash_dedup, op10_warc_round_trip)
+    f.__name__: f for f in (op1_error_correcting_language_id, op2_flac_round_trip, op5_order_preserving_packing, op7_hypergeometric_shards, op9_perfect_hash_dedup, op10_warc_round_trip)
 }
 
 
