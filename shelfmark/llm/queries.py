@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, flac, language_id, packing, sharding, store, warc
+from . import exact_dedup, flac, language_id, near_dedup, packing, sharding, store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op2_flac_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -63,7 +67,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_error_correcting_language_id, op2_flac_round_trip, op5_order_preserving_packing, op7_hypergeometric_shards, op9_perfect_hash_dedup, op10_warc_round_trip)
+    f.__name__: f for f in (op1_error_correcting_language_id, op2_flac_round_trip, op3_fast_sketch_near_dedup, op5_order_preserving_packing, op7_hypergeometric_shards, op9_perfect_hash_dedup, op10_warc_round_trip)
 }
 
 
@@ -78,6 +82,21 @@ def _base32(hex_column: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op3_fast_sketch_near_dedup": """
+        WITH RECURSIVE w AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
+        s AS MATERIALIZED (
+            SELECT doc_id, unnest(list_distinct(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')]
+                ELSE list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) END)) AS x FROM w),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        i AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY ALL),
+        e AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        r(doc_id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c.class_id) AS class_id, min(r.m) AS component_id, d.doc_id = min(r.m) AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) JOIN (
+            SELECT doc_id, CASE WHEN len(l) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY y, len(l) = 0) END AS class_id FROM (
+                SELECT w.doc_id, l, list_sort(list(x)) AS y FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id, l)) c USING (doc_id)
+        GROUP BY d.doc_id""",
     "op9_perfect_hash_dedup": """
         WITH k AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
         g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM k GROUP BY h)
