@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, flac, language_id, near_dedup, packing, sharding, store, warc
+from . import exact_dedup, flac, language_id, near_dedup, packing, sharding, store, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op3_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_bwt_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -67,7 +71,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_error_correcting_language_id, op2_flac_round_trip, op3_fast_sketch_near_dedup, op5_order_preserving_packing, op7_hypergeometric_shards, op9_perfect_hash_dedup, op10_warc_round_trip)
+    f.__name__: f for f in (op1_error_correcting_language_id, op2_flac_round_trip, op3_fast_sketch_near_dedup, op4_bwt_substring_dedup, op5_order_preserving_packing, op7_hypergeometric_shards, op9_perfect_hash_dedup, op10_warc_round_trip)
 }
 
 
