@@ -1,13 +1,72 @@
-"""Stages from raw documents to packed training sequences."""
+"""Stages from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
+next one's docs.  All but the last return the columns of documents:
+
+1. language id: a document without any letter is rejected; the others get their predicted language as lang.
+2. exact dedup: of equal texts the row with the largest doc_id stays.
+3. near dedup: of each component the row with the smallest doc_id stays.
+4. substring dedup: bytes of repeated strings go; a document of which nothing but blanks is left goes with them.
+5. packing: pieces of token sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from shelfmark.llm import exact_dedup, language_id, near_dedup, packing, queries, store, substring_dedup
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _documents(docs)
+    found = language_id.identify(docs, language_id.learn(docs))
+    return _documents(found.filter(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.col("lang_pred")))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", "text_sha256").distinct()
+    docs = _documents(docs).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return _documents(docs.join(kept, ["doc_id", "text_sha256"], "left_semi"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = near_dedup.near_dedup(docs).filter("not kept").select("doc_id").distinct()
+    return _documents(docs.join(gone, "doc_id", "left_anti"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = substring_dedup.substring_dedup(docs).select("doc_id", F.col("n_removed"), substring_dedup.cleaned().alias("clean")).filter("n_removed > 0").dropDuplicates(["doc_id"])
+    docs = _documents(docs).join(done, "doc_id", "left")
+    text = F.when(F.col("n_removed").isNull(), F.col("text")).otherwise(F.col("clean"))
+    left = docs.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed").isNull(), F.col("n_chars")).otherwise(F.length("clean").cast("long")))
+    return _documents(left.filter(F.col("n_removed").isNull() | F.col("text").rlike(r"\S")))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, queries.tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language id", identify_language),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("packing", pack_sequences),
+]
+#: Sketches, transforms and tokenizers are beyond SQL: tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = queries.table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = store.materialise(docs, "stage")
     return docs
