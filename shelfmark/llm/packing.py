@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .buffers import slices
-from .vocabulary import ChunkEncoder
+from .vocabulary import encoder
 
 WIDTH = 4096
 END_ID = 2
@@ -143,11 +143,11 @@ def with_end(ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray, ends_per_row:
 
 def pack_partition(path: str, width: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encode = encoder(path).encode
         stream = Stream(TaskContext.get().partitionId() << 32, width)
         for batch in batches:
             for rows in slices(batch, "text"):
-                ids, sizes, ends, per_row = encoder.encode(rows.column("text"))
+                ids, sizes, ends, per_row = encode(rows.column("text"))
                 ids, sizes, ends = with_end(ids, sizes, ends, per_row, END_ID)
                 stream.add(rows.column("doc_id").to_pylist(), ids, sizes, ends)
                 if stream.size >= block and (out := stream.close(last=False)) is not None:

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Ids the cache holds before it starts anew; longer chunks than LONG are encoded but not kept.
-MOST_IDS = 2_000_000
+MOST_IDS = 5_000_000
 LONG = 64
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
 
@@ -79,3 +80,9 @@ class ChunkEncoder:
             if len(c) > LONG:
                 del self.place[c]
         return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> ChunkEncoder:
+    """The one of this Python worker, so that its tasks share what was encoded."""
+    return ChunkEncoder(path)
