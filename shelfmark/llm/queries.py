@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, flac, language_id, near_dedup, packing, sharding, store, substring_dedup, warc
+from . import exact_dedup, flac, language_id, near_dedup, packing, pieces, sharding, store, substring_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,16 @@ def op5_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"), F.length("text").cast("long").alias("decoded_bytes"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op8_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"))
@@ -71,7 +81,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_error_correcting_language_id, op2_flac_round_trip, op3_fast_sketch_near_dedup, op4_bwt_substring_dedup, op5_order_preserving_packing, op7_hypergeometric_shards, op9_perfect_hash_dedup, op10_warc_round_trip)
+    f.__name__: f for f in (op1_error_correcting_language_id, op2_flac_round_trip, op3_fast_sketch_near_dedup, op4_bwt_substring_dedup, op5_order_preserving_packing, op6_shared_prefix_pieces, op7_hypergeometric_shards, op8_offset_token_counts, op9_perfect_hash_dedup, op10_warc_round_trip)
 }
 
 
