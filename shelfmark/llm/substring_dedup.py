@@ -34,11 +34,11 @@ from .store import materialise
 LEAST = 400
 GRAM = 32
 HOT_SEGMENTS = 4_000
-#: Bytes of segments that one transform holds, except for a single anchor's.
-BATCH_BYTES = 1 << 20
+#: Bytes of segments that are looked at together, except for a single anchor's; about a quarter of them go into a transform.
+BATCH_BYTES = 2 << 20
 #: Bytes of a document that are looked at together; its tiles overlap by LEAST - 1.
 TILE = 1 << 20
-SEGMENTS = "row long, start long, strings int, anchor long, segment long"
+SEGMENTS = "row long, start long, strings int, place short, anchor long, segment long"
 SPANS = "anchor long, segment long, runs array<int>"
 
 _VALUE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,12 +82,12 @@ def _least_in_windows(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first start in it, strings, anchor, segment hash) of all segments of texts put end to end, at most TILE + least bytes."""
+def segments(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """(text, first start in it, strings, place of the anchor, anchor, segment hash) of all segments of texts put end to end, at most TILE + least bytes."""
     n, gram = len(data), min(GRAM, least)
     none = np.zeros(0, np.int64)
     if n < least:
-        return none, none, none, none, none
+        return (none,) * 6
     prefix = _prefix_hashes(data)
     at = np.arange(n - gram + 1)
     hashes = _span_hash(prefix, at, at + gram)
@@ -97,12 +97,12 @@ def segments(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple
     whole = owner[: len(chosen)] == owner[least - 1 : least - 1 + len(chosen)]
     start = np.flatnonzero(whole)
     if not len(start):
-        return none, none, none, none, none
+        return (none,) * 6
     anchor, text = chosen[start], owner[start]
     lead = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
     first = start[lead]
     last = start[np.append(lead[1:], len(start)) - 1]
-    return text[lead], first - offsets[text[lead]], last - first + 1, hashes[anchor[lead]].view(np.int64), _span_hash(prefix, first, last + least).view(np.int64)
+    return text[lead], first - offsets[text[lead]], last - first + 1, anchor[lead] - first, hashes[anchor[lead]].view(np.int64), _span_hash(prefix, first, last + least).view(np.int64)
 
 
 def _tiles(rows: pa.RecordBatch, column: str, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -122,10 +122,10 @@ def find_segments(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             for rows in slices(batch, "text", TILE):
                 ids = np.asarray(rows.column("row"))
                 for data, offsets, shift in _tiles(rows, "text", least):
-                    text, start, strings, anchor, segment = segments(data, offsets, least)
+                    text, start, strings, place, anchor, segment = segments(data, offsets, least)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[text], pa.int64()), pa.array(start + shift, pa.int64()), pa.array(strings, pa.int32()), pa.array(anchor, pa.int64()), pa.array(segment, pa.int64())],
-                        ["row", "start", "strings", "anchor", "segment"],
+                        [pa.array(ids[text], pa.int64()), pa.array(start + shift, pa.int64()), pa.array(strings, pa.int32()), pa.array(place, pa.int16()), pa.array(anchor, pa.int64()), pa.array(segment, pa.int64())],
+                        ["row", "start", "strings", "place", "anchor", "segment"],
                     )
 
     return run
@@ -243,13 +243,36 @@ def runs_of(flags: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1], axis=1).ravel()
 
 
+def may_repeat(pieces: list[bytes], anchors: np.ndarray, places: np.ndarray, least: int) -> np.ndarray:
+    """Which pieces can share a string with another one of their anchor.
+
+    A string reaches from its anchor at least half of what the anchor leaves of it to one side; a piece of which neither
+    half is another's shares none.
+    """
+    gram = min(GRAM, least)
+    half = (least - gram) // 2
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    begin = np.cumsum(size) - size
+    prefix, out = _prefix_hashes(data), np.zeros(len(pieces), bool)
+    for a, b in ((places, places + gram + half), (places - (least - gram - half), places + gram)):
+        fits = np.flatnonzero((a >= 0) & (b <= size))
+        if len(fits):
+            key = _span_hash(prefix, begin[fits] + a[fits], begin[fits] + b[fits]) ^ mix(anchors[fits].view(np.uint64))
+            _, where, count = np.unique(key, return_inverse=True, return_counts=True)
+            out[fits[count[where] > 1]] = True
+    return out
+
+
 def expand_intervals(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From anchor, segment, bytes, sorted by anchor, to SPANS of the segments that repeat something."""
+    """From anchor, segment, place, bytes, sorted by anchor, to SPANS of the segments that repeat something."""
 
-    def solve(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        flags = repeated_starts([b for _, _, b in held], least)
+    def solve(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        can = may_repeat([b for *_, b in held], np.array([h[0] for h in held]), np.array([h[2] for h in held]), least)
+        held = [h for h, c in zip(held, can.tolist(), strict=True) if c]
+        flags = repeated_starts([b for *_, b in held], least) if held else np.zeros(0, bool)
         rows, at = [], 0
-        for anchor, segment, b in held:
+        for anchor, segment, _, b in held:
             runs = runs_of(flags[at : at + len(b) - least + 1])
             if len(runs):
                 rows.append((anchor, segment, runs.tolist()))
@@ -258,15 +281,15 @@ def expand_intervals(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32()))], ["anchor", "segment", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "place", "bytes")), strict=True):
                 if size >= BATCH_BYTES and row[0] != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[2])
+                size += len(row[3])
         if held:
             yield solve(held)
 
@@ -302,30 +325,30 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From text and wanted (segments of it) to anchor, segment, bytes."""
+    """From text and wanted (segments of it) to anchor, segment, place, bytes."""
     for batch in batches:
         for rows in slices(batch, "text"):
             data, offsets = raw(rows.column("text"))
-            out: list[tuple[int, int, bytes]] = []
+            out: list[tuple[int, int, int, bytes]] = []
             for i, own in enumerate(rows.column("wanted").to_pylist()):
                 base = int(offsets[i])
-                out += [(w["anchor"], w["segment"], data[base + w["start"] : base + w["end"]].tobytes()) for w in own]
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "segment", "bytes"])
+                out += [(w["anchor"], w["segment"], w["place"], data[base + w["start"] : base + w["end"]].tobytes()) for w in own]
+            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int16(), pa.binary()), strict=True)], ["anchor", "segment", "place", "bytes"])
 
 
 def repeated_spans(texts: DataFrame, least: int = LEAST, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(row, a, b): bytes a to b of text row are covered by strings that start elsewhere too; spans may overlap."""
     found = materialise(texts.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(find_segments(least), SEGMENTS), "repeat-segments")
-    distinct = found.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "strings")).alias("at"))
+    distinct = found.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "strings", "place")).alias("at"))
     anchors = distinct.groupBy("anchor").agg(F.sum("copies").alias("times"), F.count("*").alias("kinds")).filter("times > 1")
     shared = materialise(distinct.join(anchors, "anchor"), "repeat-shared")
     whole = shared.filter("copies > 1").select("anchor", "segment", F.array(F.lit(0), F.col("at.strings") - 1).alias("runs"))
     open_rows = shared.filter("kinds > 1")
     wanted = open_rows.groupBy(F.col("at.row").alias("row")).agg(
-        F.collect_list(F.struct("anchor", "segment", F.col("at.start").alias("start"), (F.col("at.start") + F.col("at.strings") + least - 1).alias("end"))).alias("wanted")
+        F.collect_list(F.struct("anchor", "segment", F.col("at.place").alias("place"), F.col("at.start").alias("start"), (F.col("at.start") + F.col("at.strings") + least - 1).alias("end"))).alias("wanted")
     )
-    pieces = texts.select("row", F.col("text").cast("binary").alias("text")).join(wanted, "row").select("text", "wanted").mapInArrow(_bytes_of, "anchor long, segment long, bytes binary")
+    pieces = texts.select("row", F.col("text").cast("binary").alias("text")).join(wanted, "row").select("text", "wanted").mapInArrow(_bytes_of, "anchor long, segment long, place short, bytes binary")
     pieces = materialise(pieces, "repeat-pieces")
     hot = anchors.filter(F.col("kinds") > hot_segments).select("anchor")
     usual = pieces.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
