@@ -329,7 +329,7 @@ def _predicted(bits: _Bits, at: np.ndarray, kind: np.ndarray, n: int) -> tuple[n
         out[deep + i] = np.where(on, bits.signed(at, 8), 0)
         at = at + 8 * on
     coefs, shift = np.zeros((deep, lanes), np.int64), np.zeros(lanes, np.int64)
-    for o in range(1, 5):
+    for o in range(1, min(4, deep) + 1):
         for j in range(o):
             coefs[j, ~linear & (order == o)] = FIXED[o][j]
     if linear.any():
