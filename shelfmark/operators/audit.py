@@ -66,13 +66,11 @@ def index_like_columns(df: DataFrame) -> list[str]:
     return found
 
 
-_LABELS = F.array_sort(F.collect_set(F.struct(F.col("label").isNull().alias("none"), F.col("label").alias("v"))))
-
-
 def _duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Groups of more than one row; labels keep null as a value of its own, last."""
+    labels = F.array_sort(F.collect_set(F.struct(F.col("label").isNull().alias("none"), F.col("label").alias("v"))))
     groups = df.groupBy(*keys).agg(
-        F.count("*").alias("size"), F.countDistinct("_raw").alias("raw_variants"), F.array_sort(F.collect_list("id")).alias("ids"), _LABELS.alias("_l"), F.array_sort(F.collect_set("name")).alias("name_variants")
+        F.count("*").alias("size"), F.countDistinct("_raw").alias("raw_variants"), F.array_sort(F.collect_list("id")).alias("ids"), labels.alias("_l"), F.array_sort(F.collect_set("name")).alias("name_variants")
     )
     return groups.filter("size > 1").select("*", F.transform("_l", lambda x: x["v"]).alias("labels"), (F.size("_l") > 1).alias("label_conflict")).drop("_l")
 

@@ -155,7 +155,7 @@ def validate_images(images: DataFrame, ids: DataFrame) -> None:
 def coverage(images: DataFrame, ids: DataFrame) -> DataFrame:
     """One row of counts: items, files, readable, unreadable, items with files and with readable ones, gaps, odd paths, repeated slots."""
     own = ids.select("id").distinct()
-    per = images.groupBy("id").agg(F.count("*").alias("files"), F.count_if("status = 'ok'").alias("ok"))
+    per = images.groupBy("id").agg(F.count("*").alias("files"), F.count_if(F.expr("status = 'ok'")).alias("ok"))
     met = own.withColumn("mine", F.lit(True)).join(per.filter("id is not null"), "id", "full")
     mine, files = F.coalesce("mine", F.lit(False)), F.coalesce("files", F.lit(0))
     products = met.agg(
@@ -168,8 +168,8 @@ def coverage(images: DataFrame, ids: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(~mine, files)), F.lit(0)).alias("orphan_files"),
     )
     rows = images.agg(
-        F.count("*").alias("image_files"), F.count_if("status = 'ok'").alias("readable_files"), F.count_if("status = 'error'").alias("unreadable_files"),
-        F.count_if("id is null").alias("invalid_id_paths"), F.count_if("image_index is null").alias("invalid_image_indices"),
+        F.count("*").alias("image_files"), F.count_if(F.expr("status = 'ok'")).alias("readable_files"), F.count_if(F.expr("status = 'error'")).alias("unreadable_files"),
+        F.count_if(F.expr("id is null")).alias("invalid_id_paths"), F.count_if(F.expr("image_index is null")).alias("invalid_image_indices"),
     )
     slots = duplicate_slots(images).agg(F.count("*").alias("duplicate_slots"))
     return products.crossJoin(rows).crossJoin(slots)  # one row each

@@ -74,7 +74,7 @@ def joined(c: str) -> F.Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
 
 
-@register(f"SELECT category, label, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY category) AS share FROM {LABELLED} GROUP BY ALL")
+@register(f"SELECT category, label, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY category) AS share FROM {LABELLED} GROUP BY category, label")
 def class_balance(spark, sf_dir):
     return audit.class_balance(products(spark, sf_dir, labelled=True))
 
