@@ -24,6 +24,11 @@ def _format() -> F.Column:
     return out
 
 
+def _place(column: str) -> F.Column:
+    """A path with one slash after its scheme: readers differ in that."""
+    return F.regexp_replace(column, "^([a-z0-9]+):/+", "$1:/")
+
+
 def _non_negative(text: F.Column) -> F.Column:
     n = text.try_cast("long")
     return F.when(n >= 0, n)
@@ -40,7 +45,7 @@ def scan_images(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
     shown = spark.read.format("image").options(dropInvalid="false", **opts).load(root)
     shown = shown.select(F.col("image.origin").alias("origin"), F.col("image.width").alias("w"), F.col("image.height").alias("h"), F.col("image.nChannels").alias("channels"))
     base = F.lit(root.removeprefix("file://").rstrip("/") + "/")
-    rows = files.select("path", "length", _format().alias("format")).join(shown, F.col("path") == F.col("origin"), "left")
+    rows = files.select("path", "length", _format().alias("format")).join(shown, _place("path") == _place("origin"), "left")
     rows = rows.withColumn("relative_path", F.element_at(F.split(F.col("path"), F.concat(F.lit(r"\Q"), base, F.lit(r"\E"))), -1))
     rows = rows.filter(~F.col("relative_path").rlike(r"(^|/)(__MACOSX|\.[^/]*|Thumbs\.db)(/|$)"))
     parts, name = F.split("relative_path", "/"), F.element_at(F.split("relative_path", "/"), -1)
@@ -122,7 +127,7 @@ def hash_images(spark: SparkSession, root: str, images: DataFrame) -> DataFrame:
     got = shown.mapInPandas(_hashes, "origin string, phash string, dhash string, problem string")
     files = spark.read.format("binaryFile").options(**opts).load(root).select("path", F.sha2("content", 256).alias("file_sha256"))
     base = root.removeprefix("file://").rstrip("/") + "/"
-    both = files.join(got, F.col("path") == F.col("origin")).withColumn("relative_path", F.element_at(F.split(F.col("path"), F.lit(rf"\Q{base}\E")), -1)).drop("path", "origin")
+    both = files.join(got, _place("path") == _place("origin")).withColumn("relative_path", F.element_at(F.split(F.col("path"), F.lit(rf"\Q{base}\E")), -1)).drop("path", "origin")
     rows = wanted.select("id", "image_index", "relative_path", "width", "height").join(both, "relative_path", "left")
     ok = F.col("phash").isNotNull()
     return conform(rows.withColumns({"status": F.when(ok, "ok").otherwise("error"), "error": F.when(~ok, F.coalesce("problem", F.lit("not decoded")))}), IMAGE_HASHES)
