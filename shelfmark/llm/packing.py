@@ -28,6 +28,8 @@ from .vocabulary import encoder
 WIDTH = 4096
 END_ID = 2
 SENTENCE, TRUNCATION, GRID = 4, 48, 64
+#: Bytes of text that are encoded together: the larger, the fewer distinct chunks to look up for each word.
+SLICE = 4 << 20
 #: Tokens of a block.
 BLOCK = 1 << 19
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -146,7 +148,7 @@ def pack_partition(path: str, width: int, block: int) -> Callable[[Iterator[pa.R
         encode = encoder(path).encode
         stream = Stream(TaskContext.get().partitionId() << 32, width)
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", SLICE):
                 ids, sizes, ends, per_row = encode(rows.column("text"))
                 ids, sizes, ends = with_end(ids, sizes, ends, per_row, END_ID)
                 stream.add(rows.column("doc_id").to_pylist(), ids, sizes, ends)

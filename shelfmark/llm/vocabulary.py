@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ import pyarrow.compute as pc
 #: Ids the cache holds before it starts anew; longer chunks than LONG are encoded but not kept.
 MOST_IDS = 5_000_000
 LONG = 64
+MAY_END = frozenset(".!?…。！？\"'”’»)]")
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
 
 
@@ -31,32 +33,31 @@ class ChunkEncoder:
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.sizes = np.zeros(1 << 14, np.int64)
-        self.ends = np.zeros(1 << 14, bool)
-        self.n = 0
+        self.starts, self.sizes, self.ends = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
+        self.used = self.n = 0
 
-    def _grown(self, name: str, need: int) -> None:
+    def _append(self, name: str, at: int, values: np.ndarray) -> None:
         held = getattr(self, name)
-        if need > len(held):
-            setattr(self, name, np.concatenate([held, np.zeros(max(need - len(held), len(held)), held.dtype)]))
+        if at + len(values) > len(held):
+            held = np.concatenate([held, np.zeros(max(at + len(values) - len(held), len(held)), held.dtype)])
+            setattr(self, name, held)
+        held[at : at + len(values)] = values
 
     def _add(self, chunks: list[str]) -> None:
-        for encoding, chunk in zip(self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), chunks, strict=True):
-            ids = encoding.ids
-            self._grown("ids", self.used + len(ids))
-            for name in ("starts", "sizes", "ends"):
-                self._grown(name, self.n + 1)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[self.n], self.sizes[self.n], self.ends[self.n] = self.used, len(ids), SENTENCE_END.search(chunk[-8:]) is not None
-            self.place[chunk] = self.n
-            self.used, self.n = self.used + len(ids), self.n + 1
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(sizes.sum())
+        self._append("ids", self.used, np.fromiter(chain.from_iterable(found), np.uint32, total))
+        self._append("starts", self.n, self.used + np.cumsum(sizes) - sizes)
+        self._append("sizes", self.n, sizes)
+        self._append("ends", self.n, np.fromiter((c[-1:] in MAY_END and SENTENCE_END.search(c[-8:]) is not None for c in chunks), bool, len(chunks)))
+        self.place.update(zip(chunks, range(self.n, self.n + len(chunks)), strict=True))
+        self.used, self.n = self.used + total, self.n + len(chunks)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all rows, ids per row, id positions after which a sentence ends, how many of those per row)."""
         texts = pc.fill_null(texts, "")
-        split = pc.ascii_split_whitespace(texts)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # the tokenizer lowers all letters; chunks that differ in ASCII case meet earlier so
         per_row = np.asarray(pc.list_value_length(split)).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
@@ -66,7 +67,7 @@ class ChunkEncoder:
             missing = chunks
         if missing:
             self._add(missing)
-        known = np.fromiter((self.place[c] for c in chunks), np.int64, len(chunks))
+        known = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
         of = known[np.asarray(coded.indices)] if len(chunks) else np.zeros(0, np.int64)
         sizes = self.sizes[of]
         after = np.cumsum(sizes)
