@@ -19,6 +19,7 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .buffers import raw, slices
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
+#: Bytes of text that are encoded together: the larger, the fewer distinct words to look up for each word.
+SLICE = 4 << 20
 #: Ids that the cache of words holds before it starts anew.
 MOST_IDS = 4_000_000
 ENCODED = "doc_id long, ids array<int>"
@@ -85,7 +88,8 @@ class Model:
         self.place = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (1, 4)}
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == 6}
         self.unknown = self.kinds.index(2) if 2 in self.kinds else 0
-        self.longest = max(map(len, self.place), default=1)
+        #: Ends of pieces: a longer part of a word than one of these ends with no piece.
+        self.tails = {p[i:] for p in self.place for i in range(len(p))}
         if any(MARK in p.lstrip(MARK) for p in self.place):
             raise ValueError("pieces that go on after a word's mark are not read")
         self.splits_lines = not any("\n" in p for p in self.place)
@@ -118,7 +122,7 @@ class Model:
         """Ids of each of the distinct words."""
         out: list[list[int]] = [[]] * len(words)
         last, score, start = [-1], [0.0], [0]  # by length of prefix: last piece (-1: not in the vocabulary), Viterbi score, where it begins
-        place, scores, longest, bpe, met = self.place, self.scores, self.longest, self.type == BPE, self.met
+        place, scores, tails, bpe, met = self.place, self.scores, self.tails, self.type == BPE, self.met
         previous = ""
         for k in sorted(range(len(words)), key=words.__getitem__):
             word = words[k]
@@ -130,19 +134,24 @@ class Model:
             del last[same + 1 :], score[same + 1 :], start[same + 1 :]
             for i in range(same + 1, len(word) + 1):
                 found, begin, best = -1, i - 1, score[i - 1] + self.least
-                for j in range(max(0, i - longest), i):
-                    p = place.get(word[j:i])
-                    if p is None:
-                        continue
-                    if bpe:
+                ending, j = [], i - 1
+                while j >= 0 and (part := word[j:i]) in tails:
+                    p = place.get(part)
+                    if p is not None:
+                        ending.append((j, p))
+                    j -= 1
+                if bpe:
+                    for j, p in reversed(ending):
                         ok = met.get((last[j], p))
                         if ok is None:
                             ok = self.fits(last[j], p)
                         if ok:
                             found, begin, best = p, j, 0.0
                             break
-                    elif score[j] + scores[p] > best or (found < 0 and j == i - 1):
-                        found, begin, best = p, j, score[j] + scores[p]
+                else:
+                    for j, p in ending:
+                        if score[j] + scores[p] > best or (found < 0 and j == i - 1):
+                            found, begin, best = p, j, score[j] + scores[p]
                 last.append(found)
                 score.append(best)
                 start.append(begin)
@@ -185,13 +194,12 @@ class Encoder:
         split = [self.units.findall(w) for w in words]
         distinct = list({u for units in split for u in units})
         ids = dict(zip(distinct, self.model.segment(distinct), strict=True))
-        rows = [[i for u in units for i in ids[u]] for units in split]
-        for w in words:
-            self.place[w] = len(self.place)
+        rows = [ids[units[0]] if len(units) == 1 else [i for u in units for i in ids[u]] for units in split]
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.size_of = np.concatenate([self.size_of, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for r in rows for i in r), np.int32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum()))])
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         if len(self.flat) > MOST_IDS:
@@ -210,7 +218,7 @@ class Encoder:
         words = [MARK + w for w in coded.dictionary.to_pylist()]
         loose = {int(i): self.units.findall(self.normalised(texts[int(i)].as_py())) for i in np.flatnonzero(odd & ~empty)}
         self._add(list({w: 0 for w in [*words, *(u for units in loose.values() for u in units)] if w not in self.place}))
-        known = np.fromiter((self.place[w] for w in words), np.int64, len(words))
+        known = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         of = known[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
         counts = np.zeros(rows, np.int64)
         counts[at] = per
@@ -270,7 +278,7 @@ def _decoder(path: str) -> Decoder:
 def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), _encoder(path).encode(rows.column("text"))], ["doc_id", "ids"])
 
     return run
