@@ -192,6 +192,24 @@ def test_near_dedup_on_families(spark):
     assert near(frame(spark, [])) == {}
 
 
+def test_near_dedup_of_a_large_family_with_far_copies(spark):
+    """Copies with up to 14 changes from few words: many miss the centre, and some of those meet each other only."""
+    r = random.Random(12)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(r.randrange(0, 8)):
+            at = r.randrange(80)
+            copy[at] = r.choice("xyz")
+            copy[at + 1] = r.choice(["p", copy[at + 1]])
+        rows.append(" ".join(copy[: 90 - r.randrange(0, 6)]))
+    want = {i: shingle_set(t) for i, t in enumerate(rows)}
+    part = components(want)
+    assert len(set(part.values())) > 10
+    assert {i: g[1] for i, g in near(frame(spark, rows)).items()} == part
+
+
 def test_near_dedup_where_only_a_third_text_links(spark):
     """a - b - c: neighbours are similar, a and c are not; and a hub whose far members pair up among themselves."""
     w = [f"t{i}" for i in range(100)]
