@@ -45,6 +45,7 @@ def _folds(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _images(spark: SparkSession, a: argparse.Namespace) -> None:
     ids = tables.read_products(spark, a.data).select("id")
+    images.validate_ids(ids)
     tables.write_table(images.scan_images(spark, a.images, ids), a.output, ("relative_path",))
     i = tables.read_table(spark, a.output, IMAGES)
     images.validate_images(i, ids)
@@ -88,6 +89,11 @@ def _models(spark: SparkSession, a: argparse.Namespace) -> None:
     reports.write(a.report, lambda: reports.oof_report(oof))
 
 
+def _contract(spark: SparkSession, a: argparse.Namespace) -> None:
+    rules.check_signals()
+    reports.write(a.report, reports.contract_report)
+
+
 def _explain(spark: SparkSession, a: argparse.Namespace) -> None:
     df = tables.read_products(spark, a.data)
     done = explain.explained(rules.decide(df))
@@ -105,6 +111,7 @@ STAGES = {
     "manifest": (_manifest, ("data", "groups", "folds", "images", "output", "report"), (), {}),
     "rules": (_rules, ("data", "folds", "output", "report"), (), {}),
     "models": (_models, ("data", "folds", "rules", "output", "report"), ("artifacts",), {"max_iter": 100}),
+    "contract": (_contract, ("report",), (), {}),
     "explain": (_explain, ("data", "output"), (), {}),
 }
 

@@ -142,6 +142,15 @@ def file_digest(path: str, step: int = 1 << 20) -> str:
     return digest.hexdigest()
 
 
+def validate_ids(ids: DataFrame) -> None:
+    """Product ids: integers from 0, none null, none twice."""
+    problems = [f"ids are {dict(ids.dtypes)['id']}"] if dict(ids.dtypes)["id"] not in ("bigint", "int") else []
+    if not problems:
+        problems = [f"{name}: {n}" for name, n in violations(ids, {"null": F.col("id").isNull(), "negative": F.col("id") < 0}).items()]
+        problems += [f"{n} repeat" for n in [repeated(ids, ["id"])] if n]
+    demand(problems, "dataset ids")
+
+
 def validate_images(images: DataFrame, ids: DataFrame) -> None:
     check_schema(images, IMAGES, "images")
     known = images.join(ids.select(F.col("id").alias("_id")).distinct().withColumn("known", F.lit(True)), F.col("id") == F.col("_id"), "left")

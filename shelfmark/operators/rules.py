@@ -254,3 +254,15 @@ def verdict_quality(features: DataFrame) -> DataFrame:
     """category, verdict, rows, share of them whose label agrees."""
     hit = (F.col("text_rule_verdict") == F.col("true_label")).cast("int")
     return features.filter("text_rule_verdict is not null").groupBy("category", "text_rule_verdict").agg(F.count("*").alias("rows"), F.avg(hit).alias("accuracy"))
+
+
+def ocr_disagreement(products: DataFrame) -> DataFrame:
+    """(id, text_verdict, ocr_verdict, ocr_rule_id, text_ocr_disagreement) of products with a column ocr_text.
+
+    The rules run over name and description, and apart from them over the text read from images; they disagree where both
+    decide and differ.
+    """
+    text = decide(products.select("id", "name", "description", "category")).select("id", F.col("text_rule_verdict").alias("text_verdict"))
+    seen = decide(products.select("id", F.lit(None).cast("string").alias("name"), F.col("ocr_text").alias("description"), "category"))
+    seen = seen.select("id", F.col("text_rule_verdict").alias("ocr_verdict"), F.col("text_rule_id").alias("ocr_rule_id"))
+    return join_one_to_one(text, seen).withColumn("text_ocr_disagreement", F.coalesce(F.col("text_verdict") != F.col("ocr_verdict"), F.lit(False)))

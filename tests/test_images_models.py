@@ -265,6 +265,28 @@ def test_hard_examples(spark):
     assert {tuple(r) for r in got.collect()} == {(1, "confident_wrong"), (1, "conflict"), (2, "disagreement"), (1, "near_opposite")}
 
 
+def test_tabular_models_score_each_fold_from_the_others(spark):
+    rows = [(i, B if i < 40 else FL, i % 4, float(i % 2), None if i % 5 == 0 else 1.0, i % 2 if i < 40 else 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, category string, fold int, a double, b double, y int")
+    got = {r.id: r.score for r in models.tabular_oof(df, ["a", "b"], "y", ["a", "b"], at_once=2).collect()}
+    assert len(got) == 60 and all((got[i] > 0.5) == bool(i % 2) for i in range(40)) and {got[i] for i in range(40, 60)} == {1.0}
+    with pytest.raises(ValueError, match="not allowed"):
+        models.tabular_oof(df, ["a"], "y", ["b"])
+
+
+def test_ocr_disagreement(spark):
+    df = spark.createDataFrame([(1, "БАД", "", "спортивное питание", B), (2, "БАД", "", None, B)], "id long, name string, description string, ocr_text string, category string")
+    assert {r.id: (r.text_verdict, r.ocr_verdict, r.text_ocr_disagreement) for r in rules.ocr_disagreement(df).collect()} == {1: (1, 0, True), 2: (1, None, False)}
+
+
+def test_dataset_ids(spark):
+    images.validate_ids(spark.range(3))
+    with pytest.raises(ValueError, match="repeat"):
+        images.validate_ids(spark.range(3).union(spark.range(1)))
+    with pytest.raises(ValueError, match="negative"):
+        images.validate_ids(spark.range(-1, 2))
+
+
 def test_routing(spark):
     rows = spark.createDataFrame([("A", 1), ("B", 2), ("C", 3)], "route string, ocr int")
     got = {r.route: (r.ocr, r.has_ocr, r.has_lora) for r in routing.simulate(rows, {"ocr": ["ocr"], "lora": []}).collect()}
