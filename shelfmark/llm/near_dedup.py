@@ -4,9 +4,9 @@
    smallest id goes on, so copies are never expanded into pairs.
 2. Ids that share a band key are candidates.  In each bucket one member, the one that meets most others over all bands,
    is compared with all the rest on full sets; hubs are split by salt so that no task gathers a bucket.
-3. Links give components.  Pairs of a bucket inside one component need no comparison.  Across components, an id whose
-   shingles are too often its own alone to reach the threshold with any partner there is set aside, which is exact;
-   all pairs that remain are compared on full sets.
+3. Links give components.  Pairs of a bucket inside one component need no comparison.  Across components, what both share
+   with a common centre bounds what they can share with each other; pairs that the bound rules out are left out, which is
+   exact, and all that remain are compared on full sets.
 4. Components of all links, with classes put back.
 
 A pair at the threshold is missed by all bands with a chance of 5 in a million; every candidate pair is decided exactly.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from shelfmark.operators.components import connected_components
 
@@ -35,6 +35,8 @@ PERCENT = 75
 FANOUT = 256
 SKETCHES = "id long, n int, d1 long, d2 long, keys array<long>"
 SETS = "id long, n int, shingles binary"
+#: both: how many shingles id and hub share.
+COMPARED = "id long, hub long, both int, n int, hub_n int"
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,71 +65,122 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], ["id", "n", "shingles"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From hub, salt, member, id, shingles, sorted, each hub's set before its members': pairs that are similar enough."""
+def _beside_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(id, hub, its set, the hub's set) from hub, salt, member, id, shingles, sorted, each hub's set before its members'."""
     at, hub = None, np.zeros(0, np.int64)
     for batch in batches:
         data, offsets = raw(batch.column("shingles"))
         keys = zip(*(batch.column(c).to_pylist() for c in ("hub", "salt", "member", "id")), strict=True)
-        a, b = [], []
         for (h, salt, member, x), lo, hi in zip(keys, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            own = data[lo:hi].view(np.int64) if lo % 8 == 0 and data.ctypes.data % 8 == 0 else np.frombuffer(data[lo:hi].tobytes(), np.int64)
+            own = np.frombuffer(data[lo:hi].tobytes(), np.int64)
             if not member:
-                at, hub = (h, salt), own.copy()
+                at, hub = (h, salt), own
             elif at != (h, salt):
                 raise RuntimeError("a member came without its hub")
-            elif len(hub) and len(own):
-                place = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
-                both = int((hub[place] == own).sum())
-                if 100 * both >= PERCENT * (len(hub) + len(own) - both):
-                    a.append(x)
-                    b.append(h)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (id, hub) whose sets are similar enough, as (a, b).  A hub's set goes once to each FANOUT of its members."""
+            else:
+                yield x, h, own, hub
+
+
+def _in(own: np.ndarray, hub: np.ndarray) -> np.ndarray:
+    if not len(hub):
+        return np.zeros(len(own), bool)
+    return hub[np.minimum(np.searchsorted(hub, own), len(hub) - 1)] == own
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """COMPARED for every member."""
+    rows: list[tuple[int, int, int, int, int]] = []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["id", "hub", "both", "n", "hub_n"])
+
+    for x, h, own, hub in _beside_hubs(batches):
+        rows.append((x, h, int(_in(own, hub).sum()), len(own), len(hub)))
+        if len(rows) == 4096:
+            yield out()
+            rows.clear()
+    if rows:
+        yield out()
+
+
+def _extras(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, hub, shingle) for every member's shingles that its hub lacks."""
+    for x, h, own, hub in _beside_hubs(batches):
+        more = own[~_in(own, hub)]
+        if len(more):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(more), x)), pa.array(np.full(len(more), h)), pa.array(more)], ["id", "hub", "shingle"])
+
+
+def beside_hubs(pairs: DataFrame, sets: DataFrame, function, schema: str) -> DataFrame:
+    """function over pairs (id, hub) with both sets.  A hub's set goes once to each FANOUT of its members."""
     wide = pairs.groupBy("hub").agg(F.ceil(F.count("*") / FANOUT).cast("int").alias("salts"))
     salted = pairs.join(wide, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), "id")
     hubs = wide.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("hub").alias("id"))
     rows = salted.unionByName(hubs).join(sets.select("id", "shingles"), "id")
-    return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(_compare, "a long, b long")
+    return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(function, schema)
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return beside_hubs(pairs, sets, _compare, COMPARED)
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    return rows.filter(f"100 * both >= {PERCENT} * (n + hub_n - both)").select(F.col("id").alias("a"), F.col("hub").alias("b"))
 
 
 def _hub_pairs(buckets: DataFrame) -> DataFrame:
+    """(id, hub): each bucket's members with the one of them that meets most others over all its buckets."""
     met = buckets.groupBy("id").agg(F.sum("size").alias("met"))
     best = buckets.join(met, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("best"))
     hubs = best.select("key", (-F.col("best.minus")).alias("hub"))
     return buckets.join(hubs, "key").filter("id <> hub").select("id", "hub").distinct()
 
 
-def _cross_pairs(buckets: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different components, without those that cannot be similar enough."""
-    parts = connected_components(links, lambda df: materialise(df, "near-part"))
-    labelled = buckets.join(parts, buckets["id"] == parts["node"], "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    labelled = labelled.join(sets.select("id", "n"), "id")
-    mixed = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("n").alias("least")).filter("p <> q")
-    open_rows = materialise(labelled.join(mixed.select("key", "least"), "key"), "near-open")
-    ids = open_rows.groupBy("id").agg(F.min("least").alias("least"), F.first("n").alias("n"))
-    each = ids.join(sets.select("id", "shingles"), "id").mapInArrow(_explode, "id long, shingle long")
-    alone = each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("id").alias("id")).filter("df = 1").groupBy("id").agg(F.count("*").alias("own"))
-    shared = ids.join(alone, "id", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
-    reach = f"{100 + PERCENT} * shared >= {PERCENT} * (n + greatest(least, ceil({PERCENT / 100} * n)))"
-    live = open_rows.drop("least", "n").join(shared.filter(reach).select("id", "n", "shared"), "id")
-    still = live.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("key")
-    live = materialise(live.join(still, "key"), "near-live")
-    x, y = live.alias("x"), live.alias("y")
-    could = f"x.key = y.key and x.id < y.id and x.part <> y.part and {100 + PERCENT} * least(x.shared, y.shared) >= {PERCENT} * (x.n + y.n)"
-    return x.join(y, F.expr(could)).select(F.col("y.id").alias("id"), F.col("x.id").alias("hub")).distinct()
-
-
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows in slices(batch, "shingles"):
-            data, offsets = raw(rows.column("shingles"))
-            held = np.frombuffer(data.tobytes(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(rows.column("id")), np.diff(offsets) // 8)), pa.array(held)], ["id", "shingle"])
+def _around_centres(first: DataFrame, buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, hub, part): ids whose hubs lie in one component, beside the one of that component that meets most others.
+
+    Only where ids of other components are among them; one centre for each component, however many hubs it has.
+    """
+    label = lambda df, c: df.join(parts.select(F.col("node").alias(c), F.col("component")), c, "left").withColumn(f"{c}_part", F.coalesce("component", c)).drop("component")
+    met = first.select("id", "hub").union(first.select("hub", "hub")).distinct()
+    met = label(label(met, "id"), "hub").select("id", "id_part", F.col("hub_part").alias("around")).distinct()
+    mixed = met.groupBy("around").agg(F.min("id_part").alias("p"), F.max("id_part").alias("q")).filter("p <> q").select("around")
+    met = materialise(met.join(mixed, "around"), "near-met")
+    many = buckets.groupBy("id").agg(F.sum("size").alias("met"))
+    centre = met.filter("id_part = around").join(many, "id").groupBy("around").agg(F.max_by("id", F.struct("met", (-F.col("id")).alias("minus"))).alias("hub"))
+    return met.join(centre, "around").filter("id <> hub").select("id", "hub", F.col("id_part").alias("part"))
+
+
+def _cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (id, hub) of ids beside one centre, in different components, that may be similar enough.
+
+    rows: id, hub, both, n, hub_n, part.  Let x have s of its n shingles in common with the centre and e = n - s others.
+    Two ids share min(s, s') + min(e, e') shingles at most, and min(s, s') at most if none of the others.  As two links to
+    the centre would have joined them, one of both, x, is not linked with it.  So either x's partner is small enough for
+    s alone to do, or both share at least `need` of their others, and then also one of the rarest e - need + 1 of either.
+    """
+    k, all_of = PERCENT, 100 + PERCENT
+    least = rows.groupBy("hub").agg(F.min("n").alias("least"))
+    rows = rows.join(least, "hub").withColumns({
+        "linked": F.expr(f"100 * both >= {k} * (n + hub_n - both)"),
+        "rest": F.col("n") - F.col("both"),
+        "reach": F.expr(f"cast(floor(({all_of} * both - {k} * n) / {k}) as int)"),
+        "need": F.expr(f"cast(ceil({k} * (n + greatest(least, ceil({k} * n / 100))) / {all_of}) as int) - both"),
+    })  # reach: the largest partner for which s alone may do
+    rows = materialise(rows, "near-beside")
+    extras = materialise(beside_hubs(rows.filter("rest >= need").select("id", "hub"), sets, _extras, "id long, hub long, shingle long"), "near-extras")
+    df = extras.join(rows.select("id", "hub", "part"), ["id", "hub"]).groupBy("hub", "shingle").agg(F.count("*").alias("df"), F.min("part").alias("p"), F.max("part").alias("q"))
+    rank = F.row_number().over(Window.partitionBy("hub", "id").orderBy("df", "shingle"))
+    ranked = extras.join(df, ["hub", "shingle"]).withColumn("rank", rank).filter("p <> q")
+    ranked = ranked.join(rows.drop("least", "hub_n", "reach"), ["id", "hub"]).filter("rank <= rest - greatest(need, 1) + 1")
+    x, y = ranked.alias("x"), ranked.alias("y")
+    bound = f"{all_of} * (least(x.both, y.both) + least(x.rest, y.rest)) >= {k} * (x.n + y.n)"
+    share = x.join(y, F.expr(f"x.hub = y.hub and x.shingle = y.shingle and x.id < y.id and x.part <> y.part and {bound}")).select("x.id", F.col("y.id").alias("other"))
+    sizes = rows.filter(f"100 * reach >= {k} * n").groupBy("hub", F.col("n").alias("size")).agg(F.max("reach").alias("most"))
+    lone = rows.filter("not linked").alias("x").join(sizes.alias("s"), F.expr(f"x.hub = s.hub and s.size <= x.reach and s.most >= x.n and 100 * s.size >= {k} * x.n"))
+    lone = lone.select("x.id", "x.hub", "x.n", "x.part", "s.size").alias("x")
+    near = lone.join(rows.alias("y"), F.expr("x.hub = y.hub and x.size = y.n and y.reach >= x.n and x.part <> y.part and x.id <> y.id")).select(F.least("x.id", "y.id").alias("id"), F.greatest("x.id", "y.id").alias("other"))
+    return share.unionByName(near).distinct().select(F.col("other").alias("id"), F.col("id").alias("hub"))
 
 
 def near_links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -135,12 +188,15 @@ def near_links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     reps = sketched.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys"))
     bands = reps.select("id", F.explode("keys").alias("key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = materialise(bands.join(sizes, "key"), "near-buckets")
+    buckets = materialise(bands.join(sizes.hint("shuffle_hash"), "key"), "near-buckets")
     wanted = buckets.select("id").distinct()
-    sets = materialise(docs.join(wanted, "id", "left_semi").mapInArrow(_sets, SETS), "near-sets")
-    first = materialise(verified(_hub_pairs(buckets), sets), "near-first")
-    second = materialise(verified(_cross_pairs(buckets, first, sets), sets), "near-second")
-    return first.unionByName(second)
+    sets = materialise(docs.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sets, SETS), "near-sets")
+    first = materialise(compared(_hub_pairs(buckets), sets), "near-first")
+    parts = connected_components(_linked(first), lambda df: materialise(df, "near-part"))
+    around = materialise(_around_centres(first, buckets, parts), "near-around")
+    beside = materialise(compared(around.select("id", "hub"), sets).join(around, ["id", "hub"]), "near-centres")
+    second = materialise(_linked(compared(_cross_pairs(beside, sets), sets)), "near-second")
+    return _linked(first).unionByName(_linked(beside)).unionByName(second)
 
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
