@@ -17,9 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as zstd Parquet into the shared folder and read it back: lineage ends there and survives lost executors."""
+def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write df as zstd Parquet into the shared folder and read it back: lineage ends there and survives lost executors.
+
+    With partition_by, each task writes its rows into folders by those columns, so that filters read only what they need.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
