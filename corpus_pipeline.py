@@ -8,6 +8,11 @@ next one's docs.  All but the last return the columns of documents:
 3. near dedup: of each component the row with the smallest doc_id stays.
 4. substring dedup: bytes of repeated strings go; a document of which nothing but blanks is left goes with them.
 5. packing: pieces of token sequences.
+
+Defined cases: a null text is an empty one, and goes in stage 1; null lang, source or n_chars pass through (lang is set in
+stage 1, n_chars anew where stage 4 cuts); of rows that repeat an id and a text stage 2 keeps all or none; a row with a null
+id stays unless stage 2 finds a copy with an id; an empty table passes as an empty one; columns beyond those of documents
+are dropped at the start of a stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +36,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", "text_sha256").distinct()
-    docs = _documents(docs).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    return _documents(docs.join(kept, ["doc_id", "text_sha256"], "left_semi"))
+    docs = _documents(docs).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("d")
+    same = F.col("d.text_sha256").eqNullSafe(F.col("k.text_sha256")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    return _documents(docs.join(kept.alias("k"), same, "left_semi"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +47,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = substring_dedup.substring_dedup(docs).select("doc_id", F.col("n_removed"), substring_dedup.cleaned().alias("clean")).filter("n_removed > 0").dropDuplicates(["doc_id"])
-    docs = _documents(docs).join(done, "doc_id", "left")
+    keyed, _ = substring_dedup.with_rows(_documents(docs))
+    done = substring_dedup.removed(keyed).filter("n_removed > 0").select(F.col("row").alias("_row"), "n_removed", substring_dedup.cleaned().alias("clean")).dropDuplicates(["_row"])
+    docs = keyed.join(done, "_row", "left")
     text = F.when(F.col("n_removed").isNull(), F.col("text")).otherwise(F.col("clean"))
     left = docs.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed").isNull(), F.col("n_chars")).otherwise(F.length("clean").cast("long")))
     return _documents(left.filter(F.col("n_removed").isNull() | F.col("text").rlike(r"\S")))

@@ -361,15 +361,27 @@ def repeated_spans(texts: DataFrame, least: int = LEAST, hot_segments: int = HOT
     return runs.select("row", (F.col("start") + F.col("run.f")).alias("a"), (F.col("start") + F.col("run.l") + least).alias("b"))
 
 
-def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (bytes that stay), kept_sha256."""
-    text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
+def with_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, bool]:
+    """(docs with _row long, whether that is the id): where any id repeats or is null, it is a hash of id and text."""
     ids = docs.groupBy(id_column).agg(F.count("*").alias("n"))
     if ids.filter((F.col("n") > 1) | F.col(id_column).isNull()).isEmpty():
-        return _removed(docs.select(F.col(id_column).cast("long").alias("row"), text.alias("text")), least, hot_segments).withColumnRenamed("row", id_column)
-    keyed = docs.select(F.xxhash64(id_column, text).alias("row"), F.col(id_column).alias("id"), text.alias("text"))
-    named = keyed.select("row", F.col("id").alias(id_column)).distinct()
-    return _removed(keyed.select("row", "text"), least, hot_segments).join(named, "row").drop("row")
+        return docs.withColumn("_row", F.col(id_column).cast("long")), True
+    return docs.withColumn("_row", F.xxhash64(id_column, F.coalesce(text_column, F.lit("")))), False
+
+
+def removed(keyed: DataFrame, text_column: str = "text", least: int = LEAST, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+    """row, n_bytes, n_removed, n_spans, kept, kept_sha256 of what with_rows returned."""
+    text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
+    return _removed(keyed.select(F.col("_row").alias("row"), text.alias("text")), least, hot_segments)
+
+
+def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (bytes that stay), kept_sha256."""
+    keyed, by_id = with_rows(docs.select(id_column, text_column), id_column, text_column)
+    if by_id:
+        return removed(keyed, text_column, least, hot_segments).withColumnRenamed("row", id_column)
+    named = keyed.select(F.col("_row").alias("row"), id_column).distinct()
+    return removed(keyed, text_column, least, hot_segments).join(named, "row").drop("row")
 
 
 def cleaned(kept: str = "kept") -> Column:

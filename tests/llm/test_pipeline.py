@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of all its stages."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -59,5 +60,20 @@ def test_odd_tables_pass_every_stage(spark, texts):
     check_packing(docs.collect(), survivors(dict(enumerate(texts))), queries.tokenizer_path("word_bpe_49k.json"))
 
 
+def test_null_and_repeated_ids_pass(spark):
+    """Nothing crashes, no text is given to another row, and each rule of the docstring holds."""
+    r = random.Random(3)
+    long = "".join(r.choice("abcdefgh ") for _ in range(900))
+    rows = [(1, "one two three four five six"), (1, "another text under the same id"), (None, "no id, own text here"), (None, "one two three four five six"), (2, long), (None, "start " + long[:500])]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        if name == "language id":
+            assert docs.count() == 0  # without any lang nothing is learned, and all are rejected
+            docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], docs.schema)
+    left = {(x.doc_id, x.text) for x in docs.collect()}
+    assert left == {(1, rows[0][1]), (1, rows[1][1]), (None, rows[2][1]), (2, long[500:]), (None, "start ")}
+
+
 def test_crc_is_the_contracts():
     assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
