@@ -145,15 +145,15 @@ def with_end(ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray, ends_per_row:
 
 def pack_partition(path: str, width: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
         stream = Stream(TaskContext.get().partitionId() << 32, width)
-        for batch in batches:
-            for rows in slices(batch, "text", SLICE):
-                ids, sizes, ends, per_row = encode(rows.column("text"))
-                ids, sizes, ends = with_end(ids, sizes, ends, per_row, END_ID)
-                stream.add(rows.column("doc_id").to_pylist(), ids, sizes, ends)
-                if stream.size >= block and (out := stream.close(last=False)) is not None:
-                    yield out
+        with encoder(path) as own:
+            for batch in batches:
+                for rows in slices(batch, "text", SLICE):
+                    ids, sizes, ends, per_row = own.encode(rows.column("text"))
+                    ids, sizes, ends = with_end(ids, sizes, ends, per_row, END_ID)
+                    stream.add(rows.column("doc_id").to_pylist(), ids, sizes, ends)
+                    if stream.size >= block and (out := stream.close(last=False)) is not None:
+                        yield out
         if (out := stream.close(last=True)) is not None:
             yield out
 

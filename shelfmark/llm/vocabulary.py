@@ -6,8 +6,13 @@ its chunks in order; a chunk is encoded by the tokenizer itself and its ids kept
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from functools import lru_cache
 from itertools import chain
 
@@ -83,7 +88,37 @@ class ChunkEncoder:
         return out
 
 
+#: Seconds after a task's end at which a worker that has no other of the kind gives the cache's memory back.
+IDLE_SECONDS = 4.0
+_lock, _users = threading.Lock(), [0]
+
+
 @lru_cache(maxsize=1)
-def encoder(path: str) -> ChunkEncoder:
-    """The one of this Python worker, so that its tasks share what was encoded."""
+def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
+
+
+@contextmanager
+def encoder(path: str) -> Iterator[ChunkEncoder]:
+    """The one of this Python worker, so that its tasks share what was encoded; workers live on for other stages' tasks."""
+    with _lock:
+        _users[0] += 1
+    own = _encoder(path)
+    try:
+        yield own
+    finally:
+        with _lock:
+            _users[0] -= 1
+        later = threading.Timer(IDLE_SECONDS, _give_back, [own])
+        later.daemon = True
+        later.start()
+
+
+def _give_back(own: ChunkEncoder) -> None:
+    with _lock:
+        if _users[0]:
+            return
+        own.clear()
+    gc.collect()
+    with suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
