@@ -450,8 +450,7 @@ def char_ngram_df(spark, sf_dir):
 def oof_predictions(spark, sf_dir):
     rows = products(spark, sf_dir, labelled=True)
     f = folds.stratified_group_folds(groups.text_groups(rows), n_splits=3)
-    settings = models.Settings(max_iter=10, blocks=(tfidf.Block("word", 4_000), tfidf.Block("char", 8_000)), balanced=(), categories=())
-    return models.out_of_fold(models.texts_of(rows, f), settings)
+    return models.out_of_fold(models.texts_of(rows, f), models.Settings(max_iter=500, categories=()))
 
 
 def scored(spark, sf_dir):

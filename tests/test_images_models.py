@@ -12,6 +12,7 @@ from shelfmark import cli
 from shelfmark.contracts import CATEGORIES, FOLDS, IMAGE_HASHES, check_alignment, conform, join_one_to_one, require_columns, same_rows
 from shelfmark.functions import numbers
 from shelfmark.operators import checksum, images, manifest, metrics, models, retrieval, routing, rules, tfidf, visual
+from shelfmark.plans import queries as catalogue
 from shelfmark.sources import tables
 
 B, FL = CATEGORIES
@@ -207,6 +208,15 @@ def cards(spark):
     return df.drop("fold"), f
 
 
+def test_oof_query_fits_whole_models(spark, monkeypatch):
+    """Vocabularies, iterations and class weights are those of the reference's fast_models.yaml."""
+    seen = []
+    monkeypatch.setattr(models, "out_of_fold", lambda texts, settings: seen.append(settings))
+    catalogue.QUERIES["oof_predictions"](spark, "/root/testdata/sf0.001")
+    assert [(b.name, b.most_terms, b.min_df) for b in seen[0].blocks] == [("word", 80_000, 2), ("char", 120_000, 2)]
+    assert (seen[0].c, seen[0].max_iter, seen[0].balanced) == (1.0, 500, models.Settings().balanced)
+
+
 SMALL = models.Settings(max_iter=10, blocks=(tfidf.Block("word", 500, 1), tfidf.Block("char", 1000, 1)))
 
 
