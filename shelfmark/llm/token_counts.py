@@ -28,14 +28,17 @@ from .buffers import raw, slices
 
 #: Token spans that the cache of words holds before it starts anew.
 MOST_TOKENS = 4_000_000
+#: Texts that are encoded whole: a blank inside or at the end of a run of white space may share a token with what is before it.
+WHOLE = r"  |[\x09-\x0D\x{85}\pZ] ([\x09-\x0D\x{85}\pZ]|\z)"
 COUNTS = "doc_id long, section long, start long, chars long, tokens long, crossing long"
 
 
 class SpanEncoder:
     """Byte sizes of the tokens of whole texts with a byte-level tokenizer that splits words before their blank.
 
-    Texts without double blanks are cut before each blank; each distinct word is encoded once.  Other texts are encoded
-    whole.  Special tokens' strings in a text are ordinary text.
+    A blank after anything but white space begins a token, and so does the last blank of a run of white space before a
+    word.  Texts that have only such blanks are cut before each; each distinct word is encoded once.  Texts that match WHOLE
+    are encoded whole.  Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -61,7 +64,7 @@ class SpanEncoder:
         if len(self.flat) > MOST_TOKENS:
             self.clear()
         rows = len(texts)
-        odd = np.asarray(pc.match_substring(texts, "  "))
+        odd = np.asarray(pc.match_substring_regex(texts, WHOLE))
         at = np.flatnonzero(~odd)
         split = pc.split_pattern(texts.take(pa.array(at)), " ")
         per = np.asarray(pc.list_value_length(split)).astype(np.int64)

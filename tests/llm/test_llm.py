@@ -446,6 +446,15 @@ def test_token_counts_against_brute_force(spark):
     assert token_counts.count_tokens(frame(spark, []), path).count() == 0
 
 
+def test_tokens_across_blanks_and_other_white_space():
+    encoder, r = token_counts.SpanEncoder(queries.tokenizer_path("byte_bpe_50k.json")), random.Random(12)
+    own = ["a \u00a0 \u00a0 b", "a \u00a0 \u00a0 ", "\u3000 \u3000 b"] + ["".join(r.choice("ab  \n\t\u00a0\u00a0\u0085\u2003\u2028\u3000") for _ in range(r.randrange(20))) for _ in range(2000)]
+    sizes, tokens = encoder.token_bytes(pa.array(own))
+    got = np.split(sizes, np.cumsum(tokens)[:-1])
+    assert [x.tolist() for x in got] == [encoder.bytes_of[e.ids].tolist() for e in map(encoder.tokenizer.encode, own)]
+    assert tokens[0] == 3
+
+
 # 9
 
 
