@@ -10,8 +10,8 @@ next one's docs.  All but the last return the columns of documents:
 5. packing: pieces of token sequences.
 
 Defined cases: a null text is an empty one, and goes in stage 1; null lang, source or n_chars pass through (lang is set in
-stage 1, n_chars anew where stage 4 cuts); of rows that repeat an id and a text stage 2 keeps all or none; a row with a null
-id stays unless stage 2 finds a copy with an id; an empty table passes as an empty one; columns beyond those of documents
+stage 1, n_chars anew where stage 4 cuts); of rows that repeat an id and a text stage 2 keeps one, the least by its other
+columns, or none; a row with a null id goes only if stage 2 finds a copy of it, with an id or as one of null ids; an empty table passes as an empty one; columns beyond those of documents
 are dropped at the start of a stage, whatever their names.
 """
 
@@ -35,10 +35,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", "text_sha256").distinct()
+    kept = exact_dedup.exact_dedup(docs).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"))
+    kept = store.materialise(kept, "exact-kept")
     docs = _documents(docs).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("d")
     same = F.col("d.text_sha256").eqNullSafe(F.col("k.text_sha256")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
-    return _documents(docs.join(kept.alias("k"), same, "left_semi"))
+    repeated = kept.filter("rows > 1")
+    if repeated.isEmpty():
+        return _documents(docs.join(kept.alias("k"), same, "left_semi"))
+    once = _documents(docs.join(kept.filter("rows = 1").alias("k"), same, "left_semi"))
+    more = docs.join(repeated.alias("k"), same, "left_semi").groupBy("doc_id", "text_sha256").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("least"))
+    return once.unionByName(_documents(more.select("doc_id", "least.*")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,5 +75,19 @@ def test_null_and_repeated_ids_pass(spark):
     assert left == {(1, rows[0][1]), (1, rows[1][1]), (None, rows[2][1]), (2, long[500:]), (None, "start ")}
 
 
+def test_one_of_repeated_rows_survives(spark):
+    """A row that comes twice, also without an id, is one document; it is not lost as a repeat of itself."""
+    r = random.Random(4)
+    a, b, c, d = ("".join(r.choice("abcdefgh ") for _ in range(600)) for _ in range(4))
+    rows = [(1, a, "t"), (1, a, None), (1, a, "s"), (None, b, None), (None, b, None), (3, c, None), (None, c, None), (4, d, None)]
+    docs = spark.createDataFrame([(i, t, "en", s, None) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_exact_copies(spark, docs, SF)
+    assert sorted((x.doc_id or 0, x.text, x.source or "") for x in kept.collect()) == [(0, b, ""), (1, a, ""), (3, c, ""), (4, d, "")]
+    docs = spark.createDataFrame(kept.collect(), docs.schema)
+    for _, stage in corpus_pipeline.STAGES[2:4]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+    assert sorted((x.doc_id or 0, x.text) for x in docs.collect()) == [(0, b), (1, a), (3, c), (4, d)]
+
+
 def test_crc_is_the_contracts():
     assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
