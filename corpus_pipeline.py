@@ -5,7 +5,7 @@ next one's docs.  All but the last return the columns of documents:
 
 1. language id: a document without any letter is rejected; the others get their predicted language as lang.
 2. exact dedup: of equal texts the row with the largest doc_id stays.
-3. near dedup: of each component the row with the smallest doc_id stays.
+3. near dedup: of each component the row with the smallest doc_id stays; texts under one doc_id are told apart.
 4. substring dedup: bytes of repeated strings go; a document of which nothing but blanks is left goes with them.
 5. packing: pieces of token sequences.
 
@@ -48,8 +48,17 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_dedup(docs).filter("not kept").select("doc_id").distinct()
-    return _documents(docs.join(gone, "doc_id", "left_anti"))
+    docs = _documents(docs)
+    keyed, by_id = substring_dedup.with_rows(docs)
+    if by_id:
+        gone = near_dedup.near_dedup(docs).filter("not kept").select("doc_id").distinct()
+        return _documents(docs.join(gone, "doc_id", "left_anti"))
+    keyed = keyed.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.col("_row")))
+    parts = near_dedup.near_dedup(keyed, "_row").filter("_row is not null").select("_row", "component_id").distinct()
+    parts = store.materialise(parts.join(keyed.select("_row", "doc_id").distinct(), "_row"), "near-rows")
+    first = parts.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first")).select("component_id", F.col("first._row").alias("first"))
+    gone = parts.join(first, "component_id").filter("_row <> first").select("_row")
+    return _documents(keyed.join(gone, "_row", "left_anti"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,5 +89,15 @@ def test_one_of_repeated_rows_survives(spark):
     assert sorted((x.doc_id or 0, x.text) for x in docs.collect()) == [(0, b), (1, a), (3, c), (4, d)]
 
 
+def test_near_copies_go_by_row_where_ids_repeat(spark):
+    """Of two texts under one id only the near copy goes; what is near the other text is not joined through the id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (9, a + " more"), (9, b), (12, b + " more"), (7, c), (7, c + " more"), (None, a + " other"), (3, "alone")]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(x.doc_id or 0, x.text) for x in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert [x for x in sorted(left) if x[0] != 7] == [(0, a + " other"), (3, "alone"), (5, a), (9, b)]
+    assert len([x for x in left if x[0] == 7]) == 1
+
+
 def test_crc_is_the_contracts():
     assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
