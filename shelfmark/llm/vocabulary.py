@@ -33,6 +33,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Strings that the tokenizer looks for before it lowers letters, in any case.
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.clear()
 
     def clear(self) -> None:
@@ -59,10 +61,21 @@ class ChunkEncoder:
         self.place.update(zip(chunks, range(self.n, self.n + len(chunks)), strict=True))
         self.used, self.n = self.used + total, self.n + len(chunks)
 
+    def _chunks(self, texts: pa.Array) -> pa.ListArray:
+        """White-space chunks of each text, lowered as the tokenizer lowers all letters, so that those that differ in ASCII case meet early.
+
+        Chunks with a special string in any case stay as they are: it counts only if its own letters match.
+        """
+        if not self.special or not pc.any(pc.match_substring_regex(texts, self.special, ignore_case=True)).as_py():
+            return pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        flat = split.flatten()
+        flat = pc.if_else(pc.match_substring_regex(flat, self.special, ignore_case=True), flat, pc.ascii_lower(flat))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(split)))]), pa.int32()), flat)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all rows, ids per row, id positions after which a sentence ends, how many of those per row)."""
-        texts = pc.fill_null(texts, "")
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # the tokenizer lowers all letters; chunks that differ in ASCII case meet earlier so
+        split = self._chunks(pc.fill_null(texts, ""))
         per_row = np.asarray(pc.list_value_length(split)).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()

@@ -286,6 +286,17 @@ def test_substring_tiles_of_one_long_text(spark, monkeypatch):
 # 5
 
 
+def test_special_strings_keep_their_case():
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    own = ["x <|ENDOFTEXT|> y", "X <|endoftext|> Y", "A<|EndOfText|>B <|STARTOFTEXT|>", "Plain Text", "", None, "<|x|> THE Cat"]
+    encoder = vocabulary.ChunkEncoder(path)
+    for texts in (own, own[3:], own):
+        ids, sizes, _, _ = encoder.encode(pa.array(texts, pa.string()))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 49407 not in got[0] and 49407 in got[1]
+
+
 def brute_cost(places, penalties, width):
     best = [0] + [10**9] * (len(places) - 1)
     for j in range(1, len(places)):
