@@ -33,9 +33,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def write_table(df: DataFrame, path: str, sort: tuple[str, ...] = (), partition_by: tuple[str, ...] = ()) -> None:
-    """zstd Parquet; sorted within files, dealt by range of the sort columns, if any are given."""
+    """zstd Parquet; sorted within files, dealt by range of the sort columns, if any are given, nulls last."""
     if sort:
-        df = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+        order = [F.asc_nulls_last(c) for c in sort]
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
@@ -115,9 +116,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def write_submission(df: DataFrame, path: str) -> None:
-    """One CSV part of id, result in id order."""
+    """CSV parts of id, result; in the order of their names they hold the rows in id order, and each has a header."""
     require_columns(df, ("id", "result"), "submission")
-    df.select("id", "result").orderBy("id").coalesce(1).write.mode("overwrite").options(header=True, quoteAll=False, escape='"').csv(path)
+    df.select("id", "result").orderBy("id").write.mode("overwrite").options(header=True, quoteAll=False, escape='"').csv(path)
 
 
 OCR_TEXT = T.StructType([T.StructField("id", T.LongType()), T.StructField("source_image_id", T.LongType()), T.StructField("ocr_text", T.StringType()), T.StructField("ocr_quality", T.DoubleType())])
