@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.contracts import BASE, check_schema, conform, demand, join_one_to_one, table, violations
-from shelfmark.functions import signals as S
+from shelfmark.functions import evidence as E, signals as S
 from shelfmark.functions.numbers import one_hot, tri_state
 from shelfmark.functions.text import rule_text
 
@@ -224,15 +224,16 @@ def rule_features(products: DataFrame, folds: DataFrame) -> DataFrame:
 
 def validate_features(features: DataFrame) -> None:
     check_schema(features, FEATURES, "rule features")
-    value = F.from_json("text_values_json", "map<string,string>")
-    allowed = [(F.col("category") == c) & (~F.col("text_rule_id").isin(*ids) | (F.size(value) != len(S.FIELDS[c]))) for c, ids in S.RULE_IDS.items()]
+    allowed = [(F.col("category") == c) & ~F.col("text_rule_id").isin(*ids) for c, ids in S.RULE_IDS.items()]
     rules = {f"null {c}": F.col(c).isNull() for c in FEATURES.names if c != "text_rule_verdict"} | {
         "verdict in conflict": F.col("text_rule_conflict") & F.col("text_rule_verdict").isNotNull(),
         "has_verdict differs": F.col("text_rule_has_verdict") != F.col("text_rule_verdict").isNotNull(),
         "verdict outside 0/1": ~F.col("text_rule_verdict").isin(0, 1),
         "undecided with a rule": F.col("text_rule_verdict").isNull() & (F.col("text_rule_id") != S.UNDECIDED),
         "counts differ": F.col("text_evidence_count") != F.col("text_name_evidence_count") + F.col("text_description_evidence_count"),
-        "rule or fields outside the contract": _any(allowed),
+        "rule outside the contract": _any(allowed),
+        "evidence outside the contract": F.exists(E.facts(F.col("text_evidence_json")), lambda x: F.size(E.fact_faults(F.col("category"), x)) > 0),
+        "values outside the contract": F.size(E.value_faults(F.col("category"), F.col("text_values_json"))) > 0,
         "evidence is not JSON": F.coalesce(F.json_array_length("text_evidence_json"), F.lit(-1)) != F.col("text_evidence_count"),
     }
     demand([f"{name}: {n}" for name, n in violations(features, rules).items()], "rule features")

@@ -38,8 +38,6 @@ def test_fields(decided):
     assert {f["value"] for f in facts if f["field"] == "fuel_present"} == {True, False} and decided[11].text_fuel_present == -1
     for i, r in decided.items():
         category = FL if i < 13 and i >= 5 else B
-        E.check_records(category, json.loads(r.text_evidence_json))
-        E.check_values(category, json.loads(r.text_values_json))
         assert json.loads(r.text_matched_signals_json) == [s for s in S.SIGNALS[category] if s in json.loads(r.text_matched_signals_json)]
 
 
@@ -85,30 +83,37 @@ def test_plain_text():
 
 
 GOOD = {"field": "explicit_bad_marker", "value": True, "source": "name", "text": "бад"}
-
-
-@pytest.mark.parametrize(
-    "change",
-    [{"text": None}, {"source": "ocr"}, {"source": "description", "image_index": 1}, {"value": "unknown"}, {"field": "nope"}, {"source": "label"}, {"value": 1}, {"label": 1}, {"text": " "}],
-)
-def test_evidence_rejections(change):
-    assert E.check_record(B, GOOD) == GOOD
-    with pytest.raises(ValueError):
-        E.check_record(B, GOOD | change)
-
-
-def test_evidence_targets():
-    with pytest.raises(ValueError):
-        E.check_records(B, "text")
-    values = dict.fromkeys(S.FIELDS[B], "unknown")
-    made = E.target(B, values, "NO_BAD_MARKER", 0)
-    assert E.check_target(B, made) == made
-    for bad in ({"verdict": True}, {"rule_id": "X"}, {"more": 1}):
-        with pytest.raises(ValueError):
-            E.check_target(B, made | bad)
-    assert E.check_values(B, {"sport_nutrition": True}, whole=False) == {"sport_nutrition": True}
-    with pytest.raises(ValueError):
-        E.check_values(B, {"sport_nutrition": True})
+IMAGE = {"field": "marker_source", "value": "image", "source": "image", "image_index": 0}
+FACTS = [
+    (GOOD, []), (IMAGE, []), (IMAGE | {"text": "seen"}, []), (IMAGE | {"source": "ocr", "value": "ocr", "text": "read"}, []), (GOOD | {"image_index": None}, []),
+    (GOOD | {"text": None}, ["text"]), (GOOD | {"text": " "}, ["text"]), (GOOD | {"text": 5}, ["text"]), (GOOD | {"source": "ocr"}, ["image_index"]),
+    (GOOD | {"source": "description", "image_index": 1}, ["image_index"]), (IMAGE | {"image_index": -1}, ["image_index"]), (IMAGE | {"image_index": "0"}, ["image_index"]), (IMAGE | {"image_index": True}, ["image_index"]),
+    (GOOD | {"value": "unknown"}, ["unknown"]), (GOOD | {"value": 1}, ["value"]), (GOOD | {"value": "true"}, ["value"]), (GOOD | {"value": None}, ["value"]),
+    (GOOD | {"field": "nope"}, ["field", "value"]), (GOOD | {"source": "label"}, ["source"]), (GOOD | {"label": 1}, ["shape"]),
+]
+
+
+def test_faults_of_facts(spark):
+    rows = spark.createDataFrame([(i, json.dumps(f)) for i, (f, _) in enumerate(FACTS)] + [(98, "text"), (99, json.dumps({k: v for k, v in GOOD.items() if k != "value"}))], "i int, fact string")
+    got = {r.i: r.faults for r in rows.select("i", E.fact_faults(F.lit(B), F.col("fact")).alias("faults")).collect()}
+    assert [got[i] for i in range(len(FACTS))] == [want for _, want in FACTS]
+    assert "shape" in got[98] and "shape" in got[99]
+    whole = spark.createDataFrame([(json.dumps([GOOD, IMAGE]),), ("text",)], "j string").select(E.facts(F.col("j")).alias("f")).collect()
+    assert [json.loads(x) for x in whole[0].f] == [GOOD, IMAGE] and not whole[1].f
+
+
+def test_targets(spark):
+    values = dict.fromkeys(S.FIELDS[B], "unknown") | {"sport_nutrition": False}
+    rows = spark.createDataFrame([(json.dumps(dict(reversed(values.items()))), "NO_BAD_MARKER", 0)], "v string, r string, y int")
+    made = rows.select(E.target(F.lit(B), F.col("v"), F.col("r"), F.col("y")).alias("t")).first().t
+    assert list(json.loads(made).items()) == [*values.items(), ("rule_id", "NO_BAD_MARKER"), ("verdict", 0)]
+    good = json.loads(made)
+    cases = [(good, []), (good | {"verdict": True}, ["verdict"]), (good | {"verdict": "1"}, ["verdict"]), (good | {"rule_id": "X"}, ["rule_id"]), (good | {"more": 1}, ["more"]), ({k: v for k, v in good.items() if k != "verdict"}, ["missing", "verdict"]), (good | {"sport_nutrition": 0}, ["sport_nutrition"])]
+    df = spark.createDataFrame([(i, json.dumps(t)) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.f for r in df.select("i", E.target_faults(F.lit(B), F.col("t")).alias("f")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+    own = df.filter("i = 0").select(E.value_faults(F.lit("x"), F.col("t")).alias("a"), E.value_faults(F.lit(B), F.lit(json.dumps(values))).alias("b"), E.value_faults(F.lit(B), F.lit("[1]")).alias("c")).first()
+    assert own == (["category"], [], ["shape"])
 
 
 def test_explanations(spark, cards):
