@@ -46,7 +46,7 @@ def _folds(spark: SparkSession, a: argparse.Namespace) -> None:
 def _images(spark: SparkSession, a: argparse.Namespace) -> None:
     ids = tables.read_products(spark, a.data).select("id")
     images.validate_ids(ids)
-    tables.write_table(images.scan_images(spark, a.images, ids), a.output, ("relative_path",))
+    tables.write_table(images.scan_images(spark, a.images, ids), a.output, ("id", "image_index", "relative_path"))
     i = tables.read_table(spark, a.output, IMAGES)
     images.validate_images(i, ids)
     reports.write(a.report, lambda: reports.image_report(i, ids))
@@ -85,7 +85,7 @@ def _models(spark: SparkSession, a: argparse.Namespace) -> None:
     oof = tables.read_table(spark, a.output, models.OOF)
     models.validate_oof(oof)
     if a.artifacts:
-        models.save_models(models.final_models(models.texts_of(df, f), settings)[0], a.artifacts, spark)
+        models.save_models(models.final_models(models.texts_of(df, f), settings), a.artifacts, spark)
     reports.write(a.report, lambda: reports.oof_report(oof))
 
 

@@ -176,19 +176,19 @@ def test_checksums(spark):
     assert checksum.multiset_checksum(a.limit(0)).first()["rows"] == 0
 
 
-def test_char_terms(spark):
-    got = spark.createDataFrame([("a  bcd",)], "text string").select(tfidf.char_terms("text").alias("t")).first().t
+def test_char_terms():
+    got = tfidf.char_terms("a  bcd")
     assert sorted(got) == sorted([" a ", " bc", "bcd", "cd ", " bcd", "bcd ", " bcd "])
 
 
-def test_word_terms(spark):
-    got = spark.createDataFrame([("ёж и лес x лес",)], "text string").select(tfidf.word_terms("text").alias("t")).first().t
+def test_word_terms():
+    got = tfidf.word_terms("ёж и лес x лес")
     assert sorted(got) == sorted(["ёж", "лес", "лес", "ёж лес", "лес лес"])
 
 
 def test_tfidf_weights(spark):
     rows = spark.createDataFrame([(1, "aa bb aa"), (2, "bb cc"), (3, "")], "id long, text string")
-    got = {(r.id, r.term): r.weight for r in tfidf.tfidf(rows, tfidf.word_terms("text", 1, 1), min_df=1).collect()}
+    got = {(r.id, r.term): r.weight for r in tfidf.tfidf(rows, lambda t: tfidf.word_terms(t, 1, 1), min_df=1).collect()}
     idf = lambda df: np.log(4 / (1 + df)) + 1
     a, b = (1 + np.log(2)) * idf(1), idf(2)
     assert got[1, "aa"] == pytest.approx(a / np.hypot(a, b)) and got[1, "bb"] == pytest.approx(b / np.hypot(a, b))
@@ -222,12 +222,12 @@ SMALL = models.Settings(max_iter=10, blocks=(tfidf.Block("word", 500, 1), tfidf.
 
 def test_split_vocabulary_leaves_out_the_held_back_fold(cards):
     source, f = cards
-    _, vocabulary = tfidf.split_terms(models.texts_of(source, f), SMALL.blocks[0])
-    seen = {(r.category, r.split, r.term) for r in vocabulary.collect()}
+    found = tfidf.vocabulary(models.texts_of(source, f), SMALL.blocks[0])
+    seen = {(r.category, r.split, r.term) for r in found.collect()}
     assert (B, 0, "особый0б") not in seen and (B, 1, "особый0б") in seen
 
 
-def test_oof(spark, cards, tmp_path):
+def test_oof(spark, cards):
     source, f = cards
     r = rules.rule_features(source, f)
     oof = models.oof_table(source, f, r, SMALL)
@@ -235,16 +235,45 @@ def test_oof(spark, cards, tmp_path):
     assert oof.count() == 24 and metrics.evaluate(oof).filter("model = 'majority_vote'").agg(F.min("f1")).first()[0] == 1.0
     with pytest.raises(ValueError, match="base columns differ"):
         models.validate_inputs(source, f, conform(r.withColumn("true_label", 1 - F.col("true_label")), rules.FEATURES))
-    fitted, features = models.final_models(models.texts_of(source, f), SMALL)
-    models.save_models(fitted, str(tmp_path / "m"), spark)
-    again = models.load_models(str(tmp_path / "m"), spark)
-    own = features.filter(F.col("category") == B)
-    a, b = (models.predict(m[B], own).select("id", "word_svc_margin", "text_logreg_probability").orderBy("id").collect() for m in (fitted, again))
-    assert a == b and len(a) == 12
-    line = json.loads(spark.read.text(str(tmp_path / "m/manifest")).first().value)
-    spark.createDataFrame([(json.dumps(line | {"version": 2}),)], "value string").write.mode("overwrite").text(str(tmp_path / "m/manifest"))
-    with pytest.raises(ValueError, match="version"):
-        models.load_models(str(tmp_path / "m"), spark)
+
+
+def test_models_score_new_rows(spark, cards, tmp_path):
+    source, f = cards
+    texts = models.texts_of(source, f)
+    fitted, folder = models.final_models(texts, SMALL), str(tmp_path / "m")
+    models.save_models(fitted, folder, spark)
+    again = models.load_models(folder, spark)
+    new = spark.createDataFrame([(100, B, "__name__ капсулы добавка __description__ новое"), (101, B, "__name__ спортивный протеин __description__"), (102, FL, None), (103, FL, "слова которых нет")], "key long, category string, text string")
+    a, b = ({r.key: r for r in models.score(new, m).collect()} for m in (fitted, again))
+    assert a == b and set(a) == {100, 101, 102, 103}
+    assert a[100].text_logreg_probability > 0.5 > a[101].text_logreg_probability and a[100].word_svc_margin > 0 > a[101].word_svc_margin
+    assert a[102].word_svc_margin == pytest.approx(fitted.models[FL]["word_svc"].intercept, abs=1e-5)  # no known term: the intercept alone
+    seen = {r.id: r.text_logreg_probability for r in models.score(texts.select("id", "category", "text"), again).collect()}
+    assert all((seen[r.id] > 0.5) == bool(r.label) for r in source.collect())
+    with pytest.raises(Exception, match="no vocabulary for category"):
+        models.score(new.withColumn("category", F.lit("x")), again).collect()
+    manifest_ = [json.loads(r.value) for r in spark.read.text(f"{folder}/manifest").collect()]
+    for change, match in (({"version": 9}, "version"), ({"sha256": "0"}, "not the model that was saved")):
+        bad = [json.dumps(e | change) if "blocks" not in e or "version" in change else json.dumps(e) for e in manifest_]
+        spark.createDataFrame([(x,) for x in bad], "value string").write.mode("overwrite").text(f"{folder}/manifest")
+        with pytest.raises(ValueError, match=match):
+            models.load_models(folder, spark)
+
+
+def test_features_of_a_split_are_those_of_a_table_without_the_fold(spark, cards):
+    """Vectors and vocabulary of a split equal those learned from the other folds alone."""
+    source, f = cards
+    texts = models.texts_of(source, f).filter(F.col("category") == B)
+    block = SMALL.blocks[1]
+    own = tfidf.spaces(texts, (block,))[B]["char"]
+    alone = tfidf.spaces(texts.filter("fold <> 1"), (block,), hold_back=False)[B]["char"]
+    assert {t: w for t, w in zip(own.terms, own.idf[1]) if w} == pytest.approx(dict(zip(alone.terms, alone.idf[tfidf.WHOLE])))
+    rows = tfidf.weighted(tfidf.frequencies(texts, {B: {"char": own}}, (block,)), {"char": own}, 1, (block,)).filter("fold = 1").collect()
+    text = {r.id: r.text for r in texts.collect()}
+    for r in rows:
+        n = {t: tfidf.char_terms(text[r.id]).count(t) for t in alone.terms}
+        want = np.array([(1 + np.log(n[t])) * w if n.get(t) else 0 for t, w in zip(own.terms, own.idf[1])])
+        assert np.allclose(r.char.toArray(), want / (np.linalg.norm(want) or 1))
 
 
 def test_neighbors_by_blocks_and_broadcast_agree(spark, monkeypatch):
