@@ -32,7 +32,7 @@ def text_groups(df: DataFrame) -> DataFrame:
 
     A group of one row is unique; of rows equal before normalising, exact; else normalized.
     """
-    keyed = df.select("id", "category", "label", stable_id(signature(normalized_text("name"), normalized_text("description"))).alias("group_id"), signature("name", "description", null="<NULL>").alias("raw"))
+    keyed = df.select("id", "category", "label", stable_id(signature(normalized_text("name"), normalized_text("description"))).alias("group_id"), F.sha2(signature("name", "description", null="<NULL>"), 256).alias("raw"))
     sizes = keyed.groupBy("group_id").agg(F.count("*").alias("group_size"), F.countDistinct("raw").alias("variants"))
     kind = F.when(F.col("group_size") == 1, "unique").when(F.col("variants") == 1, "exact").otherwise("normalized")
     sizes = sizes.select("group_id", "group_size", kind.alias("duplicate_kind"))
@@ -42,7 +42,7 @@ def text_groups(df: DataFrame) -> DataFrame:
 def check_collisions(df: DataFrame) -> None:
     """Raise if two different fingerprints have one id."""
     text = signature(normalized_text("name"), normalized_text("description"))
-    r = df.select(text.alias("t"), stable_id(text).alias("g")).agg(F.countDistinct("t").alias("t"), F.countDistinct("g").alias("g")).first()
+    r = df.select(F.sha2(text, 512).alias("t"), stable_id(text).alias("g")).agg(F.countDistinct("t").alias("t"), F.countDistinct("g").alias("g")).first()
     if r.t != r.g:
         raise RuntimeError("fingerprints collide")
 

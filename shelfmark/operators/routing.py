@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmark.contracts import AVAILABILITY, demand
+from shelfmark.sources.scratch import materialise
 
 #: Stages that each route runs.
 ROUTES = {"A": (), "B": ("ocr", "embeddings", "retrieval"), "C": ("ocr", "embeddings", "retrieval", "lora")}
@@ -46,17 +47,27 @@ def check_fold_safe(pairs: DataFrame, folds: DataFrame, left: str = "id", right:
         raise ValueError("rows were compared within their fold or group")
 
 
-def best_threshold(scores: DataFrame, score: str = "score", true: str = "true_label") -> DataFrame:
+def best_threshold(scores: DataFrame, score: str = "score", true: str = "true_label", parts: int = 1024) -> DataFrame:
     """category, threshold, f1: the score from which predicting 1 gives the best F1, the highest of equals.
 
-    Scores are counted once per distinct value; running sums over those give TP and FP of every threshold.  Scores should
-    be rounded, so that there are few values.
+    Scores are counted once per distinct value.  Distinct values are dealt into parts by their order; sums over whole
+    parts, then over the values of each part, give the true and false positives of every threshold, so no task holds a
+    category's values, however many there are.
     """
-    by = scores.groupBy("category", F.col(score).alias("threshold")).agg(F.sum(true).alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy("category").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    tp, predicted, positives = F.sum("pos").over(down), F.sum("n").over(down), F.sum("pos").over(Window.partitionBy("category"))
+    by = materialise(scores.groupBy("category", F.col(score).alias("threshold")).agg(F.sum(true).alias("pos"), F.count("*").alias("n")), "thresholds")
+    ends = by.groupBy("category").agg(F.min("threshold").alias("lo"), F.max("threshold").alias("hi"))
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("threshold") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts), F.lit(parts - 1))).otherwise(0)
+    by = by.join(F.broadcast(ends), "category").withColumn("part", place.cast("int"))  # ends: a line for each category
+    sums = by.groupBy("category", "part").agg(F.sum("pos").alias("part_pos"), F.sum("n").alias("part_n"))
+    above = Window.partitionBy("category").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("category")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = sums.select("category", "part", zero(F.sum("part_pos").over(above)).alias("pos_above"), zero(F.sum("part_n").over(above)).alias("n_above"), F.sum("part_pos").over(whole).alias("positives"))
+    down = Window.partitionBy("category", "part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = by.join(F.broadcast(sums), ["category", "part"])  # sums: categories times parts
+    tp, predicted, positives = F.col("pos_above") + F.sum("pos").over(down), F.col("n_above") + F.sum("n").over(down), F.col("positives")
     f1 = F.when(predicted + positives == 0, F.lit(0.0)).otherwise(2 * tp / (predicted + positives))
-    return by.select("category", "threshold", f1.alias("f1")).groupBy("category").agg(F.max(F.struct("f1", "threshold")).alias("b")).select("category", F.col("b.threshold").alias("threshold"), F.col("b.f1").alias("f1"))
+    return rows.select("category", "threshold", f1.alias("f1")).groupBy("category").agg(F.max(F.struct("f1", "threshold")).alias("b")).select("category", F.col("b.threshold").alias("threshold"), F.col("b.f1").alias("f1"))
 
 
 def calibrated(scores: DataFrame, bins: int = 10, score: str = "score", true: str = "true_label") -> DataFrame:

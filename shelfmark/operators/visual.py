@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,19 +22,23 @@ class Limits:
     most_products: int = 20
 
 
-def hamming_pairs(hashes: DataFrame, radius: int = 6) -> DataFrame:
+def hamming_pairs(hashes: DataFrame, radius: int = 6, agreeing: int = 3) -> DataFrame:
     """(a, b, distance), a <= b, of distinct longs h at most radius bits apart, equal ones not paired.
 
-    64 bits in radius + 1 bands: hashes that differ in radius bits agree in one band at least, so an equi-join on bands
-    finds every pair.  Bits are compared before pairs are made distinct.
+    64 bits in radius + agreeing bands: hashes that differ in radius bits agree in `agreeing` bands at least, so an
+    equi-join on every choice of that many bands finds every pair.  More bands make keys longer (21 bits of 64 by default,
+    27 with four) and their choices more (84, 210): a row goes to each of them, but meets only 1 in 2^21 of the others
+    there by chance.  Bits are compared before pairs are made distinct.
     """
-    bands = radius + 1
+    bands = radius + agreeing
     cuts = [64 * i // bands for i in range(bands + 1)]
-    h = F.col("h")
-    keys = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("bits")) for i in range(bands)]
-    split = hashes.select("h").distinct().select("h", F.explode(F.array(*keys)).alias("k"))
+    masks = [((1 << (z - a)) - 1) << a for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    choices = [signed(sum(masks[i] for i in chosen)) for chosen in combinations(range(bands), agreeing)]
+    keys = F.transform(F.array(*map(F.lit, choices)), lambda mask: F.struct(mask.alias("mask"), F.col("h").bitwiseAND(mask).alias("bits")))
+    split = hashes.select("h").distinct().select("h", F.explode(keys).alias("k")).select("h", "k.mask", "k.bits")
     a, b = split.alias("a"), split.alias("b")
-    near = (F.col("a.k") == F.col("b.k")) & (F.col("a.h") < F.col("b.h")) & (hamming(F.col("a.h"), F.col("b.h")) <= radius)
+    near = F.expr("a.mask = b.mask and a.bits = b.bits and a.h < b.h") & (hamming(F.col("a.h"), F.col("b.h")) <= radius)
     return a.join(b, near).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"), hamming(F.col("a.h"), F.col("b.h")).alias("distance")).distinct()
 
 
@@ -61,17 +66,25 @@ def exact_pairs(images: DataFrame, most_products: int = 20) -> DataFrame:
 
 
 def near_pairs(images: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Image pairs of different files and products within the candidate limits, with their distances."""
+    """Image pairs of different files and products within the candidate limits, with their distances.
+
+    Pairs of hashes (perceptual, difference) and sizes are found first, each once however many images have them; only
+    those within all limits meet their images.
+    """
     p, d, a = limits.candidate
     keyed = images.withColumns({"p": long_of_hex("phash"), "d": long_of_hex("dhash")})
-    apart = hamming_pairs(keyed.select(F.col("p").alias("h")), p)
-    same = keyed.select(F.col("p").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("distance"))
-    both = apart.unionByName(same)
-    l, r = keyed.alias("l"), keyed.alias("r")  # noqa: E741
+    kind = ["p", "d", "width", "height"]
+    kinds = materialise(keyed.select(*kind).distinct(), "hash-kinds")
+    apart = hamming_pairs(kinds.select(F.col("p").alias("h")), p)
+    same = kinds.select(F.col("p").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("distance"))
+    l, r = kinds.alias("l"), kinds.alias("r")  # noqa: E741
     delta = aspect_delta(F.col("l.width"), F.col("l.height"), F.col("r.width"), F.col("r.height"))
-    wanted = F.expr("l.id <> r.id and l.file_sha256 <> r.file_sha256 and (h.a <> h.b or l.relative_path < r.relative_path)") & (delta <= a) & (hamming("l.d", "r.d") <= d)
-    met = both.alias("h").join(l, F.expr("h.a = l.p")).join(r, F.expr("h.b = r.p") & wanted)
-    return met.select(*_oriented("l", "r"), F.col("h.distance").alias("pd"), hamming("l.d", "r.d").alias("dd"), delta.alias("ad"))
+    met = apart.unionByName(same).alias("h").join(l, F.expr("h.a = l.p")).join(r, F.expr("h.b = r.p") & (delta <= a) & (hamming("l.d", "r.d") <= d))
+    near = materialise(met.select(F.struct("l.*").alias("lk"), F.struct("r.*").alias("rk"), F.col("h.distance").alias("pd"), hamming("l.d", "r.d").alias("dd"), delta.alias("ad")), "hash-pairs")
+    rows = keyed.select(F.struct(*kind).alias("k"), "id", "image_index", "relative_path", "file_sha256")
+    wanted = F.expr("h.rk = r.k and l.id <> r.id and l.file_sha256 <> r.file_sha256 and (h.lk.p <> h.rk.p or l.relative_path < r.relative_path)")
+    found = near.alias("h").join(rows.alias("l"), F.expr("h.lk = l.k")).join(rows.alias("r"), wanted)
+    return found.select(*_oriented("l", "r"), "h.pd", "h.dd", "h.ad")
 
 
 def _within(limit: tuple[int, int, float]) -> Column:

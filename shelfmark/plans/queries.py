@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.functions import numbers as N, text as X
+from shelfmark.functions import evidence, numbers as N, text as X
 from shelfmark.operators import audit, checksum, explain, folds, groups, images, manifest, metrics, models, retrieval, routing, rules, tfidf, visual
-from shelfmark.contracts import id_differences
+from shelfmark.contracts import IMAGE_HASHES, conform, id_differences
+from shelfmark.sources.scratch import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -217,6 +218,19 @@ def stratified_group_folds(spark, sf_dir):
     return folds.stratified_group_folds(groups.text_groups(catalogue(spark, sf_dir)))
 
 
+@register(f"SELECT category, label, count(*) AS rows, count(DISTINCT group_id) AS groups, 5 AS folds, 0 AS split_groups, true AS even FROM {GROUPED} GROUP BY category, label")
+def fold_checks(spark, sf_dir):
+    """stratified_group_folds by stratum: all rows and groups there, no group in two folds, folds within a tenth of an even share and a group's size."""
+    g = groups.text_groups(catalogue(spark, sf_dir))
+    f = materialise(folds.stratified_group_folds(g), "folds")
+    split = folds.leaks(f).select("group_id", F.lit(1).alias("split"))
+    cells = f.groupBy("category", "label", "fold").agg(F.count("*").alias("n")).groupBy("category", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("n").alias("all"), F.count("*").alias("folds"))
+    most = g.agg(F.max("group_size").alias("most"))
+    sums = f.join(split, "group_id", "left").groupBy("category", "label").agg(F.count("*").alias("rows"), F.countDistinct("group_id").alias("groups"), F.coalesce(F.sum("split"), F.lit(0)).cast("int").alias("split_groups"))
+    even = (F.col("hi") - F.col("lo") <= F.col("all") / 10 + F.col("most"))
+    return sums.join(cells, ["category", "label"]).crossJoin(most).select("category", "label", "rows", "groups", F.col("folds").cast("int").alias("folds"), "split_groups", even.alias("even"))  # most is one row
+
+
 @register("SELECT coalesce(d.doc_id, l.doc_id) AS id, CASE WHEN d.doc_id IS NULL THEN 'right' ELSE 'left' END AS side FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
 def id_set_differences(spark, sf_dir):
     return id_differences(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
@@ -344,19 +358,48 @@ def popular_hash_star(spark, sf_dir):
     return visual.exact_pairs(document_images(spark, sf_dir), most_products=2)
 
 
+def hashed_images(spark, sf_dir):
+    """document_images with hashes: four documents in a row are near each other, and a third of all products share one perceptual hash."""
+    quarter, k = F.floor(F.col("d") / 4).cast("string"), F.col("d") % 4
+    spread = lambda text: F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    p = F.when(F.col("id") % 3 == 0, F.lit(0xFF00FF00FF00FF)).otherwise(spread(quarter).bitwiseXOR(F.expr("shiftleft(1L, cast(d % 4 * 13 as int))")))
+    d = spread(F.concat(F.lit("d"), F.when(F.col("id") % 3 == 0, F.col("d").cast("string")).otherwise(quarter))).bitwiseXOR(F.expr("shiftleft(1L, cast(d % 4 * 3 as int)) - 1"))
+    rows = document_images(spark, sf_dir).withColumn("d", F.col("relative_path").cast("long"))
+    return conform(
+        rows.select("id", "image_index", "relative_path", "file_sha256", N.hex_of_long(p).alias("phash"), N.hex_of_long(d).alias("dhash"), (100 + k).alias("width"), F.lit(100).alias("height"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error")),
+        IMAGE_HASHES,
+    )
+
+
+_HASHED = f"""(SELECT *, doc // 4 AS q, doc % 4 AS k, (CASE WHEN id % 3 = 0 THEN 71777214294589695 ELSE xor(('0x' || substr(md5((doc // 4)::VARCHAR), 1, 15))::BIGINT, 1::BIGINT << (doc % 4 * 13)::INT) END) AS p,
+    xor(('0x' || substr(md5('d' || (CASE WHEN id % 3 = 0 THEN doc ELSE doc // 4 END)::VARCHAR), 1, 15))::BIGINT, (1::BIGINT << (doc % 4 * 3)::INT) - 1) AS dh, (100 + doc % 4) / 100 AS ar FROM (SELECT *, relative_path::BIGINT AS doc FROM {_FILES}))"""
+_NEAR_IMAGES = f"""(WITH i AS MATERIALIZED (SELECT * FROM {_HASHED}), m AS (SELECT l.id AS li, r.id AS ri, l.relative_path AS lp, r.relative_path AS rp, l.image_index = 0 AND r.image_index = 0 AS "primary",
+        bit_count(xor(l.p, r.p))::INT AS pd, bit_count(xor(l.dh, r.dh))::INT AS dd, abs(l.ar - r.ar) / greatest(l.ar, r.ar) AS ad FROM i l JOIN i r ON l.relative_path < r.relative_path AND l.id <> r.id AND l.file_sha256 <> r.file_sha256)
+    SELECT least(li, ri) AS left_id, greatest(li, ri) AS right_id, CASE WHEN li < ri THEN lp ELSE rp END AS left_path, CASE WHEN li < ri THEN rp ELSE lp END AS right_path, "primary", pd, dd, ad FROM m WHERE pd <= 6 AND dd <= 10 AND ad <= 0.05)"""
+
+
+@register(f"SELECT left_id, right_id, left_path, right_path, \"primary\", pd, dd, round(ad, 12) AS ad FROM {_NEAR_IMAGES}")
+def near_image_pairs(spark, sf_dir):
+    return visual.near_pairs(hashed_images(spark, sf_dir)).withColumn("ad", F.round("ad", 12))
+
+
 @register(
-    f"""SELECT left_id, right_id, min(left_path || right_path)[:12] AS left_path, min(left_path || right_path)[13:] AS right_path,
-    CASE WHEN e > 0 AND m THEN 'exact' WHEN e > 0 THEN 'exact_candidate' ELSE 'common_image' END AS match_kind, e AS exact_image_pairs, 0::BIGINT AS strong_image_pairs, n AS candidate_image_pairs,
-    0::SMALLINT AS phash_distance, 0::SMALLINT AS dhash_distance, 0.0::DOUBLE AS aspect_ratio_delta, p AS primary_match, m AS auto_merge FROM (
-        SELECT *, p OR e >= 2 AS m FROM (SELECT *, count(*) FILTER (trusted) OVER w AS e, count(*) OVER w AS n, bool_or(trusted AND "primary") OVER w AS p FROM {_pairs_sql(2)} WINDOW w AS (PARTITION BY left_id, right_id)))
-    GROUP BY ALL"""
+    f"""WITH e AS (SELECT left_id, right_id, left_path, right_path, "primary", trusted, true AS equal, -1 AS pd, -1 AS dd, 0.0::DOUBLE AS ad FROM {_pairs_sql(20)}),
+    u AS (SELECT * FROM e UNION ALL SELECT left_id, right_id, left_path, right_path, "primary", false, false, pd, dd, ad FROM {_NEAR_IMAGES}),
+    r AS (SELECT left_id, right_id, left_path, right_path, bool_or("primary") AS "primary", bool_or(trusted) AS trusted, bool_or(equal) AS equal, min(pd) AS pd, min(dd) AS dd, min(ad) AS ad FROM u GROUP BY ALL),
+    s AS (SELECT *, NOT equal AND pd <= 4 AND dd <= 4 AND ad <= 0.02 AS strong, NOT equal AND pd <= 1 AND dd <= 1 AND ad <= 0.01 AS very FROM r),
+    g AS (SELECT left_id, right_id, first(left_path ORDER BY pd, dd, ad, left_path, right_path) AS left_path, first(right_path ORDER BY pd, dd, ad, left_path, right_path) AS right_path, first(pd ORDER BY pd, dd, ad, left_path, right_path) AS pd,
+        first(dd ORDER BY pd, dd, ad, left_path, right_path) AS dd, first(ad ORDER BY pd, dd, ad, left_path, right_path) AS ad, count(*) FILTER (trusted) AS e, count(*) FILTER (strong) AS s, count(*) AS n,
+        bool_or(trusted AND "primary") AS pe, bool_or((strong OR very) AND "primary") AS pn, bool_or(equal) AS any_equal FROM s GROUP BY left_id, right_id)
+    SELECT left_id, right_id, left_path, right_path, CASE WHEN e > 0 AND (pe OR e >= 2) THEN 'exact' WHEN e > 0 THEN 'exact_candidate' WHEN any_equal THEN 'common_image' ELSE 'near_candidate' END AS match_kind,
+        e AS exact_image_pairs, s AS strong_image_pairs, n AS candidate_image_pairs, greatest(pd, 0)::SMALLINT AS phash_distance, greatest(dd, 0)::SMALLINT AS dhash_distance, round(ad, 12) AS aspect_ratio_delta,
+        pe OR pn AS primary_match, pe OR e >= 2 AS auto_merge FROM g"""
 )
 def pair_rollup(spark, sf_dir):
-    near = "left_id long, right_id long, left_path string, right_path string, primary boolean, pd int, dd int, ad double"
-    return visual.roll_up(visual.exact_pairs(document_images(spark, sf_dir), most_products=2), spark.createDataFrame([], near))
+    return visual.visual_pairs(hashed_images(spark, sf_dir)).withColumn("aspect_ratio_delta", F.round("aspect_ratio_delta", 12))
 
 
-#: Product texts with the verdict that the rules must give: category (0: first), name, description, rule, verdict, conflict.
+#: Product texts with the verdict that the rules must give: category (0: first), name, description, rule, verdict, conflict.
 CARDS = [
     (0, "Витамины", "Продукт является биологически активной добавкой к пище", "EXPLICIT_BAD_MARKER", 1, False),
     (0, "Травяной чай", "Не является биологически активной добавкой", "EXPLICIT_NOT_BAD", 0, False),
@@ -416,6 +459,56 @@ def verdict_quality(spark, sf_dir):
     return rules.verdict_quality(card_features(spark, sf_dir))
 
 
+@register(
+    f"""SELECT id, category, (id % 3)::TINYINT AS fold, 'g' || id AS group_id, true_label, rule_id AS text_rule_id, verdict AS text_rule_verdict, verdict IS NOT NULL AS has_verdict, conflict,
+    (category = '{rules.S.SUPPLEMENT}')::INT AS marker_sources, (category = '{rules.S.FLAMMABLE}')::INT AS object_types, true AS counts_agree, true AS values_whole, 0 AS faulty_facts FROM {_CARD_ROWS}"""
+)
+def rule_feature_checks(spark, sf_dir):
+    """rule_features' rows with what must hold of the columns whose values SQL cannot give."""
+    f = card_features(spark, sf_dir)
+    ones = lambda prefix: sum((F.col(c).cast("int") for c in f.columns if c.startswith(prefix)), F.lit(0))
+    listed, category = evidence.facts(F.col("text_evidence_json")), F.col("category")
+    return f.select(
+        "id", "category", "fold", "group_id", "true_label", "text_rule_id", "text_rule_verdict", F.col("text_rule_has_verdict").alias("has_verdict"), F.col("text_rule_conflict").alias("conflict"),
+        ones("text_marker_source_").alias("marker_sources"), ones("text_object_type_").alias("object_types"),
+        ((F.col("text_evidence_count") == F.col("text_name_evidence_count") + F.col("text_description_evidence_count")) & (F.size(listed) == F.col("text_evidence_count"))).alias("counts_agree"),
+        (F.size(evidence.value_faults(category, F.col("text_values_json"))) == 0).alias("values_whole"),
+        F.size(F.filter(listed, lambda x: F.size(evidence.fact_faults(category, x)) > 0)).alias("faulty_facts"),
+    )
+
+
+def made_facts(spark, sf_dir):
+    """A fact for each document, right or wrong in field, value, source, text and index by its id."""
+    pick = lambda n, values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(F.col("doc_id") / n) % len(values) + 1).cast("int"))
+    fact = F.concat(F.lit('{"field":"'), pick(1, _FACT_FIELDS), F.lit('","value":'), pick(3, _FACT_VALUES), F.lit(',"source":"'), pick(5, _FACT_SOURCES), F.lit('"'), pick(7, _FACT_TEXTS), pick(11, _FACT_INDEXES), F.lit("}"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit(rules.S.SUPPLEMENT).alias("category"), fact.alias("fact"))
+
+
+_FACT_FIELDS, _FACT_VALUES, _FACT_SOURCES = ("sport_nutrition", "marker_source", "no_such"), ("true", "1", '"ocr"', '"unknown"', "null"), ("name", "ocr", "image", "label")
+_FACT_TEXTS, _FACT_INDEXES = ("", ',"text":"seen"', ',"text":"  "', ',"text":null', ',"text":7'), ("", ',"image_index":0', ',"image_index":-1', ',"image_index":"0"', ',"image_index":0,"label":1')
+_chosen = lambda n, values: "(CASE (doc_id // %d) %% %d %s END)" % (n, len(values), " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)))
+
+
+@register(
+    f"""WITH f AS (SELECT doc_id, {_chosen(1, _FACT_FIELDS)} AS f, {_chosen(3, _FACT_VALUES)} AS v, {_chosen(5, _FACT_SOURCES)} AS s, {_chosen(7, _FACT_TEXTS)} AS t, {_chosen(11, _FACT_INDEXES)} AS i FROM documents),
+    b AS (SELECT *, t IN (',"text":"seen"', ',"text":"  "', ',"text":7') AS has_text, i <> '' AS has_index FROM f)
+    SELECT doc_id, concat_ws(',', CASE WHEN i LIKE '%label%' THEN 'shape' END, CASE WHEN f = 'no_such' THEN 'field' END,
+        CASE WHEN NOT ((f = 'sport_nutrition' AND v IN ('true', '"unknown"')) OR (f = 'marker_source' AND v IN ('"ocr"', '"unknown"'))) THEN 'value' END, CASE WHEN v = '"unknown"' THEN 'unknown' END, CASE WHEN s = 'label' THEN 'source' END,
+        CASE WHEN (has_text AND t <> ',"text":"seen"') OR (s IN ('name', 'ocr') AND NOT has_text) THEN 'text' END,
+        CASE WHEN (has_index AND i NOT LIKE ',"image_index":0%') OR (s IN ('ocr', 'image') AND NOT has_index) OR (s = 'name' AND has_index) THEN 'image_index' END) AS faults FROM b"""
+)
+def evidence_faults(spark, sf_dir):
+    return made_facts(spark, sf_dir).select("doc_id", F.array_join(evidence.fact_faults(F.col("category"), F.col("fact")), ",").alias("faults"))
+
+
+@register(f"SELECT id, coalesce(verdict, 1)::INT AS verdict, true AS length_fits, rule_id <> 'INSUFFICIENT_EVIDENCE' AS quotes FROM {_CARD_ROWS}")
+def explanation_checks(spark, sf_dir):
+    """template_explanations' rows: verdict, whether the comment is of the length asked for, whether it quotes a phrase."""
+    size = F.length("result") - 1
+    done = explain.explained(rules.decide(card_products(spark, sf_dir)))
+    return done.select("id", F.substring("result", -1, 1).cast("int").alias("verdict"), size.between(explain.LEAST, explain.MOST).alias("length_fits"), F.col("result").contains("«").alias("quotes"))
+
+
 @register()
 def template_explanations(spark, sf_dir):
     return explain.explained(rules.decide(card_products(spark, sf_dir)))
@@ -432,7 +525,7 @@ _WORD_COUNTS = r"""w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[
 )
 def word_tfidf(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
-    done = tfidf.tfidf(rows, tfidf.word_terms("text"))
+    done = tfidf.tfidf(rows, tfidf.word_terms)
     return done.groupBy("id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("weight_sum"))
 
 
@@ -443,7 +536,7 @@ def word_tfidf(spark, sf_dir):
 )
 def char_ngram_df(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
-    return tfidf.term_counts(rows, tfidf.char_terms("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
+    return tfidf.term_stats(rows, tfidf.char_terms)
 
 
 @register()
@@ -453,6 +546,28 @@ def oof_predictions(spark, sf_dir):
     return models.out_of_fold(models.texts_of(rows, f), models.Settings(max_iter=500, categories=()))
 
 
+@register(f"SELECT id, category, label AS true_label, true AS in_range, true AS consistent FROM {LABELLED}")
+def oof_checks(spark, sf_dir):
+    """oof_predictions' rows, with the operator's own number of iterations, and what must hold of scores and disagreement."""
+    rows = products(spark, sf_dir, labelled=True)
+    f = folds.stratified_group_folds(groups.text_groups(rows), n_splits=3)
+    done = models.out_of_fold(models.texts_of(rows, f), models.Settings(categories=()))
+    votes = [F.col("word_svc_margin") >= 0, F.col("char_svc_margin") >= 0, F.col("text_logreg_probability") >= 0.5]
+    agree = (votes[0] == votes[1]) & (votes[1] == votes[2])
+    return done.select("id", "category", "true_label", F.col("text_logreg_probability").between(0, 1).alias("in_range"), ((F.col("text_models_disagree") == 1) == ~agree).alias("consistent"))
+
+
+@register("SELECT doc_id AS id, lang AS category, true AS in_range FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND lang IN (SELECT lang FROM documents JOIN labels USING (doc_id))")
+def score_new_rows(spark, sf_dir):
+    """Models learned from all labelled documents score those without a label."""
+    rows = products(spark, sf_dir, labelled=True)
+    f = folds.stratified_group_folds(groups.text_groups(rows), n_splits=3)
+    fitted = models.final_models(models.texts_of(rows, f), models.Settings(categories=()))
+    new = products(spark, sf_dir).filter(F.col("label").isNull() & F.col("category").isin(*fitted.models))
+    done = models.score(new.select("id", "category", X.composed("name", "description").alias("text")), fitted)
+    return done.select("id", "category", F.col("text_logreg_probability").between(0, 1).alias("in_range"))
+
+
 def scored(spark, sf_dir):
     """Labelled documents with three made-up scores."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
