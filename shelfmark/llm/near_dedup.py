@@ -6,10 +6,13 @@
    is compared with all the rest on full sets; hubs are split by salt so that no task gathers a bucket.
 3. Links give components.  Pairs of a bucket inside one component need no comparison.  Across components, what both share
    with a common centre bounds what they can share with each other; pairs that the bound rules out are left out, which is
-   exact, and all that remain are compared on full sets.
+   exact.  The remaining candidates are compared on full sets, in rounds of one member of each bucket with the rest, in
+   which components grow together, and at last pair by pair where they have not.
 4. Components of all links, with classes put back.
 
-A pair at the threshold is missed by all bands with a chance of 5 in a million; every candidate pair is decided exactly.
+A pair at the threshold is missed by all bands with a chance of 5 in a million.  Every candidate pair is decided on full sets
+of 51-bit shingle hashes: two different shingles of one pair of texts of 1,000 shingles each have the same hash with a
+chance of 1 in two billion.
 
 Defined cases: null texts and texts without words have an empty set, link with nothing and are their own component; texts
 of fewer than five words are one shingle; rows that repeat an id count as one document in links and get one answer each;
@@ -19,6 +22,7 @@ null ids are kept as their own component (null, kept); an empty table gives an e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,9 @@ from .store import materialise
 
 PERCENT = 75
 #: Members that one task compares with a bucket's hub at a time.
-FANOUT = 256
+FANOUT = 64
+#: Rounds in which each bucket of candidates across components has one member compared with the rest.
+ROUNDS = 3
 SKETCHES = "id long, n int, d1 long, d2 long, keys array<long>"
 SETS = "id long, n int, shingles binary"
 #: both: how many shingles id and hub share.
@@ -151,13 +157,15 @@ def _around_centres(first: DataFrame, buckets: DataFrame, parts: DataFrame) -> D
     return met.join(centre, "around").filter("id <> hub").select("id", "hub", F.col("id_part").alias("part"))
 
 
-def _cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (id, hub) of ids beside one centre, in different components, that may be similar enough.
+def _buckets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, side, id, part, both, rest, n): ids beside one centre that may be similar to another of their bucket.
 
     rows: id, hub, both, n, hub_n, part.  Let x have s of its n shingles in common with the centre and e = n - s others.
     Two ids share min(s, s') + min(e, e') shingles at most, and min(s, s') at most if none of the others.  As two links to
     the centre would have joined them, one of both, x, is not linked with it.  So either x's partner is small enough for
     s alone to do, or both share at least `need` of their others, and then also one of the rarest e - need + 1 of either.
+    Side 0: any two of a bucket, which share one of their others; buckets of equal members are one.  Sides 1 and 2: x and
+    the partners of one size.
     """
     k, all_of = PERCENT, 100 + PERCENT
     least = rows.groupBy("hub").agg(F.min("n").alias("least"))
@@ -172,15 +180,50 @@ def _cross_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     df = extras.join(rows.select("id", "hub", "part"), ["id", "hub"]).groupBy("hub", "shingle").agg(F.count("*").alias("df"), F.min("part").alias("p"), F.max("part").alias("q"))
     rank = F.row_number().over(Window.partitionBy("hub", "id").orderBy("df", "shingle"))
     ranked = extras.join(df, ["hub", "shingle"]).withColumn("rank", rank).filter("p <> q")
-    ranked = ranked.join(rows.drop("least", "hub_n", "reach"), ["id", "hub"]).filter("rank <= rest - greatest(need, 1) + 1")
-    x, y = ranked.alias("x"), ranked.alias("y")
-    bound = f"{all_of} * (least(x.both, y.both) + least(x.rest, y.rest)) >= {k} * (x.n + y.n)"
-    share = x.join(y, F.expr(f"x.hub = y.hub and x.shingle = y.shingle and x.id < y.id and x.part <> y.part and {bound}")).select("x.id", F.col("y.id").alias("other"))
-    sizes = rows.filter(f"100 * reach >= {k} * n").groupBy("hub", F.col("n").alias("size")).agg(F.max("reach").alias("most"))
-    lone = rows.filter("not linked").alias("x").join(sizes.alias("s"), F.expr(f"x.hub = s.hub and s.size <= x.reach and s.most >= x.n and 100 * s.size >= {k} * x.n"))
-    lone = lone.select("x.id", "x.hub", "x.n", "x.part", "s.size").alias("x")
-    near = lone.join(rows.alias("y"), F.expr("x.hub = y.hub and x.size = y.n and y.reach >= x.n and x.part <> y.part and x.id <> y.id")).select(F.least("x.id", "y.id").alias("id"), F.greatest("x.id", "y.id").alias("other"))
-    return share.unionByName(near).distinct().select(F.col("other").alias("id"), F.col("id").alias("hub"))
+    columns = ["id", "part", "both", "rest", "n"]
+    ranked = materialise(ranked.join(rows.drop("least", "hub_n", "reach"), ["id", "hub"]).filter("rank <= rest - greatest(need, 1) + 1").select("hub", "shingle", *columns), "near-ranked")
+    members = ranked.groupBy("hub", "shingle").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("m2"))
+    one_each = members.filter("size > 1").groupBy("hub", "size", "m1", "m2").agg(F.min("shingle").alias("shingle")).select("hub", "shingle")
+    share = ranked.join(one_each, ["hub", "shingle"]).select(F.xxhash64(F.lit(0), "hub", "shingle").alias("key"), F.lit(0).alias("side"), *columns)
+    fit = rows.filter(f"100 * reach >= {k} * n")
+    sizes = fit.groupBy("hub", F.col("n").alias("size")).agg(F.max("reach").alias("most"))
+    lone = rows.filter("not linked").alias("x").join(sizes.alias("s"), F.expr(f"x.hub = s.hub and s.size <= x.reach and s.most >= x.n and 100 * s.size >= {k} * x.n")).select("x.*", "s.size")
+    lone = lone.select(F.xxhash64(F.lit(1), "hub", "size").alias("key"), F.lit(1).alias("side"), *columns)
+    partners = fit.select(F.xxhash64(F.lit(1), "hub", "n").alias("key"), F.lit(2).alias("side"), *columns).join(lone.select("key").distinct(), "key", "left_semi")
+    return share.unionByName(lone).unionByName(partners)
+
+
+def _pairs_of(x: DataFrame, y: DataFrame, condition: str) -> DataFrame:
+    """Pairs (id, part, hub, hub_part) of buckets' rows in different parts whose bounds allow a link."""
+    bound = f"{100 + PERCENT} * (least(x.both, y.both) + least(x.rest, y.rest)) >= {PERCENT} * (x.n + y.n)"
+    met = x.alias("x").join(y.alias("y"), F.expr(f"x.key = y.key and x.part <> y.part and (x.side = 0 or x.side <> y.side) and {bound} and {condition}"))
+    return met.select(F.greatest("x.id", "y.id").alias("id"), F.least("x.id", "y.id").alias("hub"), F.when(F.expr("x.id > y.id"), F.col("x.part")).otherwise(F.col("y.part")).alias("part"), F.when(F.expr("x.id > y.id"), F.col("y.part")).otherwise(F.col("x.part")).alias("hub_part")).distinct()
+
+
+def _cross_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between ids beside one centre that lie in different components, enough to join all that belong together.
+
+    In each of ROUNDS rounds one member of every bucket is compared with those of other components; links join
+    components, and buckets with one component left need nothing more.  So a family far from the centre is joined by as
+    many comparisons as it has members.  Then all pairs that are still in different components and within the bounds are
+    compared, which is exact whatever the rounds have done.
+    """
+    buckets = materialise(_buckets(rows, sets), "near-cross")
+    links = []
+    for turn in range(ROUNDS):
+        chosen = buckets.groupBy("key").agg(F.min_by(F.struct(*buckets.columns), F.xxhash64(F.lit(turn), "id")).alias("c")).select("c.*")
+        pairs = materialise(_pairs_of(buckets, chosen, "x.id <> y.id"), "near-turn")
+        found = materialise(_linked(compared(pairs.select("id", "hub"), sets)), "near-turn-links")
+        if found.isEmpty():
+            break
+        links.append(found)
+        joined = found.join(pairs, F.expr("a = id and b = hub")).select(F.col("part").alias("a"), F.col("hub_part").alias("b")).distinct()
+        parts = connected_components(joined, lambda df: materialise(df, "near-part"))
+        buckets = buckets.join(parts, F.col("part") == F.col("node"), "left").withColumn("part", F.coalesce("component", "part")).drop("node", "component")
+        mixed = buckets.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("key")
+        buckets = materialise(buckets.join(mixed, "key", "left_semi"), "near-cross")
+    links.append(materialise(_linked(compared(_pairs_of(buckets, buckets, "x.id < y.id").select("id", "hub"), sets)), "near-second"))
+    return reduce(DataFrame.unionByName, links)
 
 
 def near_links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -195,12 +238,12 @@ def near_links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     parts = connected_components(_linked(first), lambda df: materialise(df, "near-part"))
     around = materialise(_around_centres(first, buckets, parts), "near-around")
     beside = materialise(compared(around.select("id", "hub"), sets).join(around, ["id", "hub"]), "near-centres")
-    second = materialise(_linked(compared(_cross_pairs(beside, sets), sets)), "near-second")
-    return _linked(first).unionByName(_linked(beside)).unionByName(second)
+    joined = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))  # stands for the first links
+    return joined.unionByName(_linked(beside)).unionByName(_cross_links(beside, sets))
 
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_shingles, class_id (smallest id with an equal set), component_id, kept."""
+    """One row per row of docs: id, n_shingles, component_id, kept, class_id (smallest id with an equal set)."""
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     sketched = materialise(docs.mapInArrow(_sketch, SKETCHES), "near-sketch")
     parts = connected_components(near_links(docs, sketched), lambda df: materialise(df, "near-part"))
@@ -208,5 +251,5 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     classes = classes.join(parts, F.col("class_id") == F.col("node"), "left").select("d1", "d2", "n", "class_id", F.coalesce("component", "class_id").alias("part"))
     rows = sketched.join(classes, ["d1", "d2", "n"], "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("part", "id")))
     return rows.select(
-        F.col("id").alias(id_column), F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+        F.col("id").alias(id_column), F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("class_id", "id").alias("class_id")
     )
