@@ -1,20 +1,24 @@
 """WARC archives: a writer of one gzip member per record and a sequential reader.
 
-The reader inflates incrementally, frames records by Content-Length and checks block and payload digests.  An archive
-travels as the bytes of one file, cut into volumes of bounded size, so any store Spark writes to can hold it.
+The reader takes any archive with one member per record: it inflates incrementally, frames records by Content-Length and
+checks the SHA-1 digests that are there.  Records of every type are returned; payloads are those of responses (chunked
+transfer coding undone), resources and conversions.  Between writer and reader an archive travels as the bytes of one
+file, cut into volumes of bounded size, so any store Spark writes to can hold it; `write_files` makes .warc.gz files of them.
 
 Defined cases: a null payload is an empty one; a null url is written as `about:blank`; rows that repeat an id and a
 payload are all responses if that id is the smallest of its payload; an empty table gives no volumes and no records;
-further columns are ignored.  A damaged record raises ValueError and names the archive and offset.
+further columns are ignored.  What a record has no header for is null.  A damaged record raises ValueError and names the
+archive and offset.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -85,54 +89,128 @@ def pack_volumes(level: int, volume_bytes: int) -> Callable[[Iterator[pa.RecordB
     return run
 
 
-def members(content: memoryview | bytes, chunk: int = 1 << 14) -> Iterator[tuple[int, bytes]]:
-    """(offset, inflated bytes) of each gzip member, fed to zlib chunk by chunk."""
-    view, at = memoryview(content), 0
-    while at < len(view):
-        z, start, out = zlib.decompressobj(31), at, []
-        while not z.eof:
-            if at >= len(view):
-                raise ValueError(f"the gzip member at {start} is cut off")
-            piece = view[at : at + chunk]
-            out.append(z.decompress(piece))
-            at += len(piece) - len(z.unused_data)
-        yield start, b"".join(out)
+def members(chunks: Iterable[bytes | memoryview]) -> Iterator[tuple[int, bytes]]:
+    """(offset, inflated bytes) of each gzip member of a stream that comes in chunks of any size."""
+    z, start, at, out = None, 0, 0, []
+    for chunk in chunks:
+        rest = bytes(chunk)
+        while rest:
+            if z is None:
+                z, start, out = zlib.decompressobj(31), at, []
+            try:
+                out.append(z.decompress(rest))
+            except zlib.error as e:
+                raise ValueError(f"no gzip member at {start}: {e}") from e
+            at += len(rest) - len(z.unused_data)
+            rest = z.unused_data
+            if z.eof:
+                yield start, b"".join(out)
+                z = None
+    if z is not None:
+        raise ValueError(f"the gzip member at {start} is cut off")
 
 
 def _headers(lines: bytes) -> dict[str, str]:
-    out = {}
-    for line in lines.decode("utf-8").split("\r\n"):
+    out: dict[str, str] = {}
+    name = ""
+    for line in lines.decode("utf-8", "replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and name:  # a folded line
+            out[name] += " " + line.strip()
+            continue
         name, _, value = line.partition(":")
-        out[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        out[name] = value.strip()
     return out
 
 
-def parse(archive: str, content: memoryview | bytes) -> Iterator[tuple]:
+def unchunked(body: bytes) -> bytes:
+    """The payload of a body in chunked transfer coding; a body that is not so coded is returned as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].partition(b";")[0], 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0 or end + 2 + size > len(body):
+            return body
+        if size == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def _sha1(warc: dict[str, str], header: str) -> str | None:
+    kind, _, digest = warc.get(header, "").partition(":")
+    return digest.upper() if kind.lower() == "sha1" and digest else None
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text is not None and text.isdigit() else None
+
+
+def parse_record(where: str, data: bytes) -> tuple:
+    """One record, from its inflated member: RECORDS without archive and offset."""
+    head, mark, rest = data.partition(b"\r\n\r\n")
+    first, _, fields = head.partition(b"\r\n")
+    if not mark or not first.startswith(b"WARC/"):
+        raise ValueError(f"{where}: not a WARC record")
+    warc = _headers(fields)
+    n = _number(warc.get("content-length"))
+    if n is None or len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
+        raise ValueError(f"{where}: Content-Length {n} does not frame the block")
+    block, kind = rest[:n], warc.get("warc-type", "")
+    if (digest := _sha1(warc, "warc-block-digest")) and digest != base32_sha1(block):
+        raise ValueError(f"{where}: block digest differs")
+    payload, size, digest = None, None, _sha1(warc, "warc-payload-digest")
+    if kind in ("response", "revisit") and warc.get("content-type", "").lower().startswith("application/http"):
+        status, mark, body = block.partition(b"\r\n\r\n")
+        http = _headers(status.partition(b"\r\n")[2])
+        size = _number(http.get("content-length"))
+        if kind == "response":
+            payload = unchunked(body) if "chunked" in http.get("transfer-encoding", "").lower() else body
+            whole = "warc-truncated" not in warc
+            if whole and digest and digest not in (base32_sha1(payload), base32_sha1(body)):
+                raise ValueError(f"{where}: payload digest differs")
+            if whole and not digest and payload is body and size not in (None, len(body)):
+                raise ValueError(f"{where}: the payload has {len(body)} bytes, not {size}")
+    elif kind in ("response", "resource", "conversion"):
+        payload = block
+        if digest and digest != base32_sha1(block):
+            raise ValueError(f"{where}: payload digest differs")
+    if payload is not None:
+        size, digest = len(payload), digest or base32_sha1(payload)
+    uri = warc.get("warc-target-uri")
+    ids = [_number(warc.get(k)) for k in ("warc-page-id", "warc-refers-to-page-id")]
+    return kind, warc.get("warc-record-id", "").strip("<>"), uri and uri.strip("<>"), ids[0], ids[1], size, digest, payload
+
+
+def parse(archive: str, chunks: Iterable[bytes | memoryview]) -> Iterator[tuple]:
     """Records of one archive in RECORDS order."""
-    for offset, data in members(content):
-        where = f"{archive} at {offset}"
-        head, mark, rest = data.partition(b"\r\n\r\n")
-        first, _, fields = head.partition(b"\r\n")
-        if not mark or not first.startswith(b"WARC/1."):
-            raise ValueError(f"{where}: not a WARC record")
-        warc = _headers(fields)
-        n = int(warc["content-length"])
-        if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
-            raise ValueError(f"{where}: Content-Length {n} does not frame the block")
-        block = rest[:n]
-        if "sha1:" + base32_sha1(block) != warc["warc-block-digest"]:
-            raise ValueError(f"{where}: block digest differs")
-        http, mark, payload = block.partition(b"\r\n\r\n")
-        size = int(_headers(http.partition(b"\r\n")[2])["content-length"])
-        digest = warc["warc-payload-digest"].removeprefix("sha1:")
-        kind = warc["warc-type"]
-        if kind == "response" and (len(payload) != size or base32_sha1(payload) != digest):
-            raise ValueError(f"{where}: payload digest or length differs")
-        ids = [int(warc[k]) if k in warc else None for k in ("warc-page-id", "warc-refers-to-page-id")]
-        yield archive, offset, kind, warc["warc-record-id"].strip("<>"), warc["warc-target-uri"], ids[0], ids[1], size, digest, payload if kind == "response" else None
-
-
-def read_volumes(with_payload: bool, batch_rows: int = 256) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    try:
+        for offset, data in members(chunks):
+            yield (archive, offset, *parse_record(f"record at {offset}", data))
+    except ValueError as e:
+        raise ValueError(f"{archive}: {e}") from e
+
+
+def _pieces(content: memoryview, step: int = 1 << 14) -> Iterator[memoryview]:
+    for at in range(0, len(content), step):
+        yield content[at : at + step]
+
+
+def _stream(path: str, step: int = 1 << 18) -> Iterator[bytes]:
+    """The bytes of a file that any executor can open by its path."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))  # Spark names local files with one slash
+    with store.open_input_stream(name, compression=None) as f:
+        while piece := f.read(step):
+            yield piece
+
+
+def read_volumes(with_payload: bool, batch_rows: int = 256, batch_bytes: int = 4 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From archive and content, or archive alone where that is a path to stream from, to RECORDS."""
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     fields = [tuple(x.split()) for x in RECORDS.split(", ")]
     schema = pa.schema([(name, types[kind]) for name, kind in fields if with_payload or name != "payload"])
@@ -142,13 +220,17 @@ def read_volumes(with_payload: bool, batch_rows: int = 256) -> Callable[[Iterato
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, content in zip(batch.column("archive"), batch.column("content"), strict=True):
+            names = batch.column("archive").to_pylist()
+            contents = batch.column("content") if "content" in batch.schema.names else [None] * len(names)
+            for archive, content in zip(names, contents, strict=True):
                 held: list[tuple] = []
-                for row in parse(archive.as_py(), memoryview(content.as_buffer())):
+                size = 0
+                for row in parse(archive, _stream(archive) if content is None else _pieces(memoryview(content.as_buffer()))):
                     held.append(row)
-                    if len(held) == batch_rows:
+                    size += len(row[-1] or b"")
+                    if len(held) == batch_rows or size >= batch_bytes:
                         yield batch_of(held)
-                        held = []
+                        held, size = [], 0
                 if held:
                     yield batch_of(held)
 
@@ -182,7 +264,36 @@ def read_archives(volumes: DataFrame, with_payload: bool = True) -> DataFrame:
     return volumes.select("archive", "content").mapInArrow(read_volumes(with_payload), schema)
 
 
-def read_files(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """RECORDS of .warc.gz files."""
+def write_files(volumes: DataFrame, folder: str) -> DataFrame:
+    """(path, records) of the .warc.gz files written into folder, a URI that executors can write to, one for each volume.
+
+    A task that runs again writes the same bytes under the same name.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            names = batch.column("archive").to_pylist()
+            for name, content in zip(names, batch.column("content"), strict=True):
+                with store.open_output_stream(f"{base}/{name}", compression=None) as f:
+                    f.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{n}" for n in names], pa.string()), batch.column("records")], ["path", "records"])
+
+    return materialise(volumes.select("archive", "content", "records").mapInArrow(run, "path string, records long"), "warc-files")
+
+
+def read_files(spark: SparkSession, path: str, with_payload: bool = True, through_spark: bool = False) -> DataFrame:
+    """RECORDS of .warc.gz files, one task for each file or more.
+
+    Files are streamed, so they may be of any size.  Where their store is one that only Spark's readers know,
+    through_spark reads each file whole instead (2 GB at most).
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    return read_archives(files.select(F.col("path").alias("archive"), "content"), with_payload)
+    if through_spark:
+        return read_archives(files.select(F.col("path").alias("archive"), "content"), with_payload)
+    names = files.select(F.col("path").alias("archive"))  # contents are not read for this
+    schema = RECORDS if with_payload else RECORDS.rpartition(", ")[0]
+    return names.mapInArrow(read_volumes(with_payload), schema)
