@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shelfmark.contracts import IMAGE_HASHES, IMAGES, check_schema, conform, demand, repeated, violations
 
@@ -75,35 +75,85 @@ def _dct(n: int) -> np.ndarray:
     return np.cos(np.pi * k * (2 * x + 1) / (2 * n)) * np.where(k == 0, np.sqrt(1 / n), np.sqrt(2 / n))
 
 
-def shrink(gray: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Area averages: each target pixel is the mean of what it covers."""
+def _lanczos(src: int, dst: int, lobes: int = 3) -> np.ndarray:
+    """Weights, dst by src, of a windowed sinc that is widened to cover what a target pixel stands for."""
+    scale = max(src / dst, 1.0)
+    centre = (np.arange(dst) + 0.5) * src / dst
+    x = (np.arange(src)[None, :] + 0.5 - centre[:, None]) / scale
+    w = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
+    return w / w.sum(axis=1, keepdims=True)
 
-    def weights(src: int, dst: int) -> np.ndarray:
-        edge = np.arange(dst + 1) * src / dst
-        cell = np.arange(src)
-        own = np.minimum(edge[1:, None], cell + 1) - np.maximum(edge[:-1, None], cell)
-        return np.maximum(own, 0) * dst / src
 
-    return weights(gray.shape[0], height) @ gray @ weights(gray.shape[1], width).T
+def shrink(gray: np.ndarray, height: int, width: int) -> np.ndarray:
+    """gray at another size, rounded to whole levels after each direction, rows first."""
+    level = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+    return level(_lanczos(gray.shape[0], height) @ level(gray @ _lanczos(gray.shape[1], width).T))
+
+
+#: An image as it should be seen, by the orientation that its camera noted.
+TURNS: dict[int, Callable[[np.ndarray], np.ndarray]] = {
+    1: lambda a: a,
+    2: lambda a: a[:, ::-1],
+    3: lambda a: a[::-1, ::-1],
+    4: lambda a: a[::-1],
+    5: lambda a: a.T,
+    6: lambda a: np.rot90(a, -1),
+    7: lambda a: a[::-1, ::-1].T,
+    8: lambda a: np.rot90(a),
+}
+
+
+def orientation(head: bytes) -> int:
+    """1 to 8 from the Exif part of a JPEG's first bytes; 1 where there is none."""
+    at = 2
+    while head[:2] == b"\xff\xd8" and at + 4 <= len(head) and head[at] == 0xFF and head[at + 1] != 0xDA:
+        size = int.from_bytes(head[at + 2 : at + 4], "big")
+        body = head[at + 4 : at + 2 + size]
+        if head[at + 1] == 0xE1 and body[:6] == b"Exif\0\0":
+            tiff = body[6:]
+            order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
+            if order is None or len(tiff) < 8:
+                return 1
+            number = lambda i, n: int.from_bytes(tiff[i : i + n], order)
+            first = number(4, 4)
+            for entry in range(first + 2, first + 2 + 12 * number(first, 2), 12):
+                if number(entry, 2) == 0x0112:
+                    return number(entry + 8, 2) if number(entry + 8, 2) in TURNS else 1
+            return 1
+        at += 2 + size
+    return 1
 
 
 def phash(gray: np.ndarray) -> str:
     """64 bits: low frequencies of a 32 x 32 cosine transform above their median."""
+    return _phash_of(shrink(gray, 32, 32))
+
+
+def _phash_of(small: np.ndarray) -> str:
     m = _dct(32)
-    low = (m @ shrink(gray, 32, 32) @ m.T)[:8, :8].ravel()
+    low = (m @ small @ m.T)[:8, :8].ravel()
     return np.packbits(low > np.median(low)).tobytes().hex()
 
 
 def dhash(gray: np.ndarray) -> str:
     """64 bits: whether each pixel of an 8 x 9 image is darker than its right neighbour."""
-    small = shrink(gray, 8, 9)
+    return _dhash_of(shrink(gray, 8, 9))
+
+
+def _dhash_of(small: np.ndarray) -> str:
     return np.packbits((small[:, 1:] > small[:, :-1]).ravel()).tobytes().hex()
 
 
+def turned_hashes(gray: np.ndarray) -> list[tuple[str, str]]:
+    """(pHash, dHash) of the image in each of its eight orientations: it is shrunk first, then turned."""
+    square, wide, tall = shrink(gray, 32, 32), shrink(gray, 8, 9), shrink(gray, 9, 8)
+    return [(_phash_of(turn(square)), _dhash_of(turn(wide if k < 5 else tall))) for k, turn in TURNS.items()]
+
+
 def gray_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    """Luma of pixels in blue, green, red order."""
-    x = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(float)
-    return x[..., 0] if channels == 1 else x[..., :3] @ np.array([0.114, 0.587, 0.299])
+    """Luma of pixels in blue, green, red order, in whole levels."""
+    x = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.int64)
+    return (x[..., 0] if channels == 1 else (x[..., :3] @ np.array([7471, 38470, 19595]) + 32768 >> 16)).astype(float)
 
 
 def _hashes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,23 +161,33 @@ def _hashes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for r in part.itertuples():
             try:
-                g = gray_of(r.data, r.height, r.width, r.channels)
-                out.append((r.origin, phash(g), dhash(g), None))
+                all_turns = turned_hashes(gray_of(r.data, r.height, r.width, r.channels))
+                out.append((r.origin, [p for p, _ in all_turns], [d for _, d in all_turns], None))
             except Exception as e:  # noqa: BLE001  a bad file is a row, not an end
                 out.append((r.origin, None, None, f"{type(e).__name__}: {e}"))
-        yield pd.DataFrame(out, columns=["origin", "phash", "dhash", "problem"])
+        yield pd.DataFrame(out, columns=["origin", "phashes", "dhashes", "problem"])
+
+
+@F.pandas_udf(T.IntegerType())
+def _orientation_of(heads: pd.Series) -> pd.Series:
+    return heads.map(lambda h: orientation(bytes(h)))
 
 
 def hash_images(spark: SparkSession, root: str, images: DataFrame) -> DataFrame:
-    """IMAGE_HASHES of the images in the dataset that were read and have id and index."""
+    """IMAGE_HASHES of the images in the dataset that were read and have id and index.
+
+    Hashes are of the image as its camera's orientation turns it.  Pixels stay in the task that decodes them: it works out
+    the hashes of all eight orientations, and the one that the file's first bytes name is picked when both meet by path.
+    """
     opts = {"recursiveFileLookup": "true"}
     wanted = images.filter("in_dataset and status = 'ok' and id is not null and image_index is not null")
     shown = spark.read.format("image").options(dropInvalid="true", **opts).load(root)
     shown = shown.select(F.col("image.origin").alias("origin"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
-    got = shown.mapInPandas(_hashes, "origin string, phash string, dhash string, problem string")
-    files = spark.read.format("binaryFile").options(**opts).load(root).select("path", F.sha2("content", 256).alias("file_sha256"))
+    got = shown.mapInPandas(_hashes, "origin string, phashes array<string>, dhashes array<string>, problem string")
+    files = spark.read.format("binaryFile").options(**opts).load(root).select("path", F.sha2("content", 256).alias("file_sha256"), _orientation_of(F.expr("substring(content, 1, 131072)")).alias("turn"))
     base = root.removeprefix("file://").rstrip("/") + "/"
     both = files.join(got, _place("path") == _place("origin")).withColumn("relative_path", F.element_at(F.split(F.col("path"), F.lit(rf"\Q{base}\E")), -1)).drop("path", "origin")
+    both = both.withColumns({"phash": F.col("phashes")[F.col("turn") - 1], "dhash": F.col("dhashes")[F.col("turn") - 1]})
     rows = wanted.select("id", "image_index", "relative_path", "width", "height").join(both, "relative_path", "left")
     ok = F.col("phash").isNotNull()
     return conform(rows.withColumns({"status": F.when(ok, "ok").otherwise("error"), "error": F.when(~ok, F.coalesce("problem", F.lit("not decoded")))}), IMAGE_HASHES)

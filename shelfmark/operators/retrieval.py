@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Bytes of vectors that are sent to every task at most; beyond it, vectors are compared block by block.
 MOST_BROADCAST = 64 << 20
@@ -66,6 +66,88 @@ def fold_safe_neighbors(vectors: DataFrame, k: int = 10) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "neighbor", "distance")
 
 
+#: Vectors that lists are learned from at most, chosen by a hash of their id; a list is meant to hold so many vectors of a sample.
+SAMPLE_ROWS, SAMPLE_LIST = 16_384, 64
+
+
+def list_centres(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = 8) -> np.ndarray:
+    """Unit centres of lists, by k-means over a bounded sample; at most sample_rows / SAMPLE_LIST of them."""
+    n = vectors.count()
+    own = vectors.select("id", "vector")
+    if n > sample_rows:
+        own = own.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 24)) < int((1 << 24) * sample_rows / n))
+    found = own.orderBy(F.xxhash64("id"), "id").toPandas()["vector"].tolist()
+    if not found:
+        return np.zeros((0, 1))
+    x = _unit(np.array(found, float))
+    centres = x[: max(1, len(x) // SAMPLE_LIST)].copy()
+    for _ in range(rounds):
+        nearest = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, x)
+        filled = np.linalg.norm(sums, axis=1) > 0
+        centres[filled] = _unit(sums[filled])
+    return centres
+
+
+def indexed_neighbors(vectors: DataFrame, k: int = 10, probes: int = 8, queries: DataFrame | None = None) -> DataFrame:
+    """fold_safe_neighbors by an inverted file: (id, rank, neighbor, distance), exact within the lists that are looked at.
+
+    Every vector is in the list of its nearest centre; a query looks at the `probes` lists nearest to it.  Long lists, and
+    the queries that ask for them, are dealt into blocks, so no task holds more than two blocks.  queries (id, fold,
+    vector) are all vectors unless given.  More probes find more of the true neighbours; with all lists it is exact.
+    """
+    centres = list_centres(vectors)
+    schema = "id long, neighbor long, distance double"
+    width = centres.shape[1]
+    sent = vectors.sparkSession.sparkContext.broadcast(centres)  # SAMPLE_ROWS / SAMPLE_LIST vectors at most
+    unpack = lambda df: (df["id"].to_numpy(), df["fold"].to_numpy(), _unit(np.array(df["vector"].tolist(), float).reshape(len(df), width)))
+
+    def placed(rows: DataFrame, many: int) -> DataFrame:
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                near = unpack(part)[2] @ sent.value.T
+                yield part.assign(lists=list(np.argsort(-near, axis=1, kind="stable")[:, :many].astype(np.int32)))
+
+        found = rows.select("id", "fold", "vector").mapInPandas(run, ", ".join([*(f"{n} {t}" for n, t in rows.select("id", "fold", "vector").dtypes), "lists array<int>"]))
+        return found.select("id", "fold", "vector", F.explode("lists").alias("list"))
+
+    held = placed(vectors, 1)
+    asked = placed(vectors if queries is None else queries, max(1, min(probes, len(centres))))
+    blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+    plan = blocks(held, "held").join(blocks(asked, "asked"), "list")  # a line for each list
+    part = lambda name: F.pmod(F.xxhash64("id"), F.col(name)).cast("int")
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    a = asked.join(F.broadcast(plan), "list").select("list", part("asked").alias("q"), each("held").alias("h"), "id", "fold", "vector")
+    b = held.join(F.broadcast(plan), "list").select("list", each("asked").alias("q"), part("held").alias("h"), "id", "fold", "vector")
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return _best(*unpack(x), *unpack(y), k) if len(x) and len(y) else pd.DataFrame({"id": [], "neighbor": [], "distance": []})
+
+    found = a.groupBy("list", "q", "h").cogroup(b.groupBy("list", "q", "h")).applyInPandas(meet, schema)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "neighbor", "distance")
+
+
+def cosine(a: Column | str, b: Column | str) -> Column:
+    """Cosine of two vectors of one length; null if either is null, 0 if either has no length."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    size = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when(size > 0, dot(a, b) / size).when(size == 0, F.lit(0.0))
+
+
+def text_image_similarity(embeddings: DataFrame, text: str = "text", image: str = "image") -> DataFrame:
+    """(id, text_image_similarity, best_image_similarity, image_disagreement) of vectors (id, kind, vector).
+
+    The mean and the largest cosine between a product's text and its images, and how far apart the least and the largest
+    lie.  Products without a text vector or without images have no row.
+    """
+    texts = embeddings.filter(F.col("kind") == text).select("id", F.col("vector").alias("text"))
+    pairs = embeddings.filter(F.col("kind") == image).join(texts, "id").select("id", cosine("text", "vector").alias("c"))
+    return pairs.groupBy("id").agg(F.avg("c").alias("text_image_similarity"), F.max("c").alias("best_image_similarity"), (F.max("c") - F.min("c")).alias("image_disagreement"))
+
+
 def neighbor_features(neighbors: DataFrame, labels: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
     """One row per id: share of positive neighbours among the first k, distances to the nearest of each label, their
     difference (negative minus positive), and the distance to the nearest of all.  Null where there is none."""

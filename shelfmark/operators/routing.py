@@ -76,6 +76,35 @@ def calibrated(scores: DataFrame, bins: int = 10, score: str = "score", true: st
     return scores.groupBy("category", at.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(true).alias("positive_share"))
 
 
+def fit_calibrator(scores: DataFrame, bins: int = 1000, score: str = "score", true: str = "true_label") -> DataFrame:
+    """category, bin, probability: the share of 1 as a non-decreasing function of scores between 0 and 1.
+
+    Scores are counted in bins; neighbouring bins whose shares fall are pooled until none does.  The driver gets
+    categories times bins lines.
+    """
+    counted = calibrated(scores, bins, score, true).select("category", "bin", "n", "positive_share").toPandas().sort_values(["category", "bin"])
+    lines = []
+    for category, own in counted.groupby("category"):
+        pools: list[list[float]] = []  # share, rows, first bin
+        for b, n, share in zip(own.bin.tolist(), own.n.tolist(), own.positive_share.tolist(), strict=True):
+            pools.append([share, n, b])
+            while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+                share, n, _ = pools.pop()
+                held = pools[-1]
+                held[0], held[1] = (held[0] * held[1] + share * n) / (held[1] + n), held[1] + n
+        starts = [int(p[2]) for p in pools]
+        for b in range(bins):
+            at = max(0, sum(s <= b for s in starts) - 1)
+            lines.append((category, b, float(pools[at][0])))
+    return scores.sparkSession.createDataFrame(lines, "category string, bin long, probability double")
+
+
+def apply_calibrator(scores: DataFrame, calibrator: DataFrame, bins: int = 1000, score: str = "score") -> DataFrame:
+    """scores with probability; null for a category the calibrator has not seen, or a null score."""
+    at = F.greatest(F.lit(0), F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)))
+    return scores.withColumn("bin", F.when(F.col(score).isNotNull(), at)).join(F.broadcast(calibrator), ["category", "bin"], "left").drop("bin")
+
+
 def quality_tier(has_human: Column, has_rule: Column, conflict: Column, agree: Column) -> Column:
     """How far a training row may be trusted: gold, silver_high, silver or label_only."""
     return F.when(has_human, "gold").when(has_rule & ~conflict & agree, "silver_high").when(has_rule & ~conflict, "silver").otherwise("label_only")

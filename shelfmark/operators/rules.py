@@ -91,6 +91,43 @@ def check_signals(signals: Mapping[str, Mapping[str, S.Signal]] = S.SIGNALS, win
     demand(problems, "signals")
 
 
+def read_signals(path: str) -> dict[str, object]:
+    """signals, negations and window for decide, from a YAML file of the form
+
+        version: 1
+        exclusion_window: 80
+        negation_patterns: [...]
+        categories: {name: {signals: {signal: {patterns: [...], exclude_patterns: [...]}}}}
+
+    Unknown or missing keys, patterns that repeat or do not compile, and signals that the rules do not know are errors.
+    """
+    from shelfmark.sources.tables import read_config
+
+    c = read_config(path, {"version": int, "exclusion_window": int, "negation_patterns": list, "categories": dict})
+    problems, out = [], {}
+
+    def keys(what: str, found: object, wanted: set[str]) -> bool:
+        if not isinstance(found, dict) or set(found) != wanted:
+            problems.append(f"{what}: keys are not {', '.join(sorted(wanted))}")
+            return False
+        return True
+
+    def texts(what: str, found: object) -> tuple[str, ...]:
+        if not isinstance(found, list) or not all(isinstance(x, str) and x for x in found) or len(set(found)) != len(found):
+            problems.append(f"{what}: not a list of different patterns")
+            return ()
+        return tuple(found)
+
+    negations = texts("negation_patterns", c["negation_patterns"])
+    keys("categories", c["categories"], set(S.SIGNALS))
+    for category, own in c["categories"].items():
+        if category in S.SIGNALS and keys(category, own, {"signals"}) and keys(f"{category}.signals", own["signals"], set(S.SIGNALS[category])):
+            out[category] = {n: S.Signal(texts(f"{category}.{n}", x["patterns"]), texts(f"{category}.{n}", x["exclude_patterns"])) for n, x in own["signals"].items() if keys(f"{category}.{n}", x, {"patterns", "exclude_patterns"})}
+    demand(problems, path)
+    check_signals(out, c["exclusion_window"])
+    return {"signals": out, "negations": negations, "window": c["exclusion_window"]}
+
+
 def phrase_matches(texts: Mapping[str, str], signals: Mapping[str, S.Signal], window: int = S.WINDOW) -> list[tuple[str, str, str, int, int]]:
     """(signal, source, text, start, stop) by signal, source and place; those within window of an excluding phrase are left out."""
     out = []
@@ -178,10 +215,10 @@ def _decision(category: str) -> dict[str, Column]:
     return {f"f_{f}": c for f, c in fields.items()} | {"evidence": F.concat(*evidence), "conflict": conflict, "verdict": F.when(~conflict & yes, 1).when(~conflict & no, 0), "rule_id": rule, "values": values}
 
 
-def decide(products: DataFrame, signals: Mapping[str, Mapping[str, S.Signal]] = S.SIGNALS, window: int = S.WINDOW) -> DataFrame:
+def decide(products: DataFrame, signals: Mapping[str, Mapping[str, S.Signal]] = S.SIGNALS, window: int = S.WINDOW, negations: tuple[str, ...] = S.NEGATIONS) -> DataFrame:
     """products (id, name, description, category) with the text_ columns of FEATURES; an unknown category raises when run."""
     check_signals(signals, window)
-    found = products.select("id", "category", _matcher(signals, S.NEGATIONS, window)("name", "description", "category").alias("m"))
+    found = products.select("id", "category", _matcher(signals, negations, window)("name", "description", "category").alias("m"))
     parts = {c: _decision(c) for c in S.SIGNALS}
     names = list(dict.fromkeys(n for own in parts.values() for n in own))
 

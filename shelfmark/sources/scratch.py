@@ -34,4 +34,13 @@ def materialise(df: DataFrame, name: str, *partition_by: str, schema: StructType
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
-    return spark.read.schema(schema or df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+    out = spark.read.schema(schema or df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialise wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -84,6 +84,33 @@ def test_hashes_of_close_and_different_pictures():
     assert images.shrink(np.arange(12.0).reshape(3, 4), 3, 4).tolist() == np.arange(12.0).reshape(3, 4).tolist()
 
 
+def exif(turn, order="II"):
+    pack = "<" if order == "II" else ">"
+    tiff = order.encode() + struct.pack(pack + "HIHHHIHHHHIHH", 42, 8, 2, 0x0100, 4, 1, 0, 0, 0x0112, 3, 1, turn, 0)
+    body = b"Exif\0\0" + tiff
+    return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda"
+
+
+def test_orientation():
+    assert [images.orientation(exif(k, o)) for o in ("II", "MM") for k in range(1, 9)] == [*range(1, 9)] * 2
+    assert [images.orientation(x) for x in (b"", b"\xff\xd8\xff\xda", png([[(0, 0, 0)]]), exif(9), exif(6)[:20])] == [1] * 5
+    gray = np.floor(np.random.default_rng(2).random((40, 56)) * 256)
+    gray[:20, :30] = 250
+    for k, (p, d) in zip(images.TURNS, images.turned_hashes(gray), strict=True):
+        whole = images.TURNS[k](gray)
+        bits = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+        assert bits(p, images.phash(whole)) <= 2 and bits(d, images.dhash(whole)) <= 2
+    assert images.turned_hashes(gray)[0] == (images.phash(gray), images.dhash(gray))
+    assert images.TURNS[6](np.array([[1, 2], [3, 4]])).tolist() == [[3, 1], [4, 2]]  # a quarter to the right
+
+
+def test_shrink_is_a_windowed_sinc():
+    w = images._lanczos(12, 4)
+    want = np.array([[np.sinc((j + 0.5 - (i + 0.5) * 3) / 3) * np.sinc((j + 0.5 - (i + 0.5) * 3) / 9) if abs(j + 0.5 - (i + 0.5) * 3) < 9 else 0 for j in range(12)] for i in range(4)])
+    assert np.allclose(w, want / want.sum(axis=1, keepdims=True))
+    assert images.shrink(np.full((50, 70), 77.0), 8, 9).tolist() == np.full((8, 9), 77.0).tolist()
+
+
 def hash_rows(spark, rows):
     full = [(i, k, f"{i}/{k}.png", sha, p, d, 100, 80, "ok", None) for i, k, sha, p, d in rows]
     return spark.createDataFrame(full, IMAGE_HASHES)
@@ -297,6 +324,52 @@ def test_neighbors_by_blocks_and_broadcast_agree(spark, monkeypatch):
     assert retrieval.neighbor_features(retrieval.fold_safe_neighbors(v, 4), labels, (3,)).count() == 60
 
 
+def test_indexed_neighbors_find_most_and_lose_no_list(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    middles = r.normal(size=(40, 16))
+    rows = [(i, int(i % 5), (middles[i % 40] + r.normal(size=16) * 0.7).tolist()) for i in range(3000)]
+    v = spark.createDataFrame(rows, "id long, fold int, vector array<double>")
+    exact = {(x.id, x.neighbor) for x in retrieval.fold_safe_neighbors(v, 10).collect()}
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 64)
+    got = retrieval.indexed_neighbors(v, 10).collect()
+    assert len({(x.id, x.neighbor) for x in got} & exact) / len(exact) >= 0.9 and all(x.id % 5 != x.neighbor % 5 for x in got)
+    monkeypatch.setattr(retrieval, "SAMPLE_LIST", 4096)
+    few = retrieval.indexed_neighbors(v, 10, queries=v.filter("id % 20 = 0")).collect()  # one list: exact
+    assert {(x.id, x.neighbor) for x in few} == {x for x in exact if x[0] % 20 == 0}
+    assert retrieval.indexed_neighbors(v.limit(0), 3).count() == 0
+
+
+def test_text_image_similarity(spark):
+    rows = [(1, "text", [1.0, 0.0]), (1, "image", [1.0, 0.0]), (1, "image", [0.0, 2.0]), (2, "text", [1.0, 1.0]), (3, "image", [1.0, 1.0]), (4, "text", [0.0, 0.0]), (4, "image", [1.0, 0.0])]
+    got = {r.id: tuple(r)[1:] for r in retrieval.text_image_similarity(spark.createDataFrame(rows, tables.EMBEDDINGS)).collect()}
+    assert got == {1: (0.5, 1.0, 1.0), 4: (0.0, 0.0, 0.0)}
+
+
+def test_calibrator(spark):
+    r = random.Random(4)
+    rows = [(B, s := r.random(), int(r.random() < s * s)) for _ in range(4000)] + [(FL, 0.2, 1), (FL, 0.8, 0)]
+    df = spark.createDataFrame(rows, "category string, score double, true_label int")
+    fitted = routing.fit_calibrator(df, bins=50)
+    p = {(x.category, x.bin): x.probability for x in fitted.collect()}
+    own = [p[B, b] for b in range(50)]
+    assert len(p) == 100 and own == sorted(own) and max(abs(x - ((b + 0.5) / 50) ** 2) for b, x in enumerate(own)) < 0.15
+    assert {p[FL, b] for b in range(50)} == {0.5}
+    got = routing.apply_calibrator(spark.createDataFrame([(B, 1.0), (B, None), ("x", 0.5)], "category string, score double"), fitted, bins=50)
+    assert {(x.category, x.score): x.probability for x in got.collect()} == {(B, 1.0): own[-1], (B, None): None, ("x", 0.5): None}
+
+
+def test_best_threshold_over_many_values(spark):
+    r = random.Random(9)
+    rows = [(c, round(r.random(), 4), int(r.random() < 0.4)) for c in (B, FL) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "category string, score double, true_label int")
+    for x in routing.best_threshold(df, parts=16).collect():
+        own = [(s, y) for c, s, y in rows if c == x.category]
+        pos = sum(y for _, y in own)
+        f1 = {t: 2 * sum(y for s, y in own if s >= t) / (sum(s >= t for s, _ in own) + pos) for t in {s for s, _ in own}}
+        best = max(f1.values())
+        assert x.f1 == pytest.approx(best) and x.threshold == max(t for t, f in f1.items() if abs(f - best) < 1e-12)
+
+
 def test_hard_examples(spark):
     oof = spark.createDataFrame([(1, 0, 0.95, 1, 0), (2, 1, 0.5, 0, 1)], "id long, true_label long, text_logreg_probability double, text_rule_conflict int, text_models_disagree int")
     n = spark.createDataFrame([(1, 2, 0.05), (2, 1, 0.5)], "id long, neighbor long, distance double")

@@ -126,3 +126,29 @@ def test_explanations(spark, cards):
         explain.validate_submission(done.limit(3), cards)
     with pytest.raises(ValueError, match="comment"):
         explain.validate_submission(done.withColumn("result", F.lit("short1")), cards)
+
+
+def test_signals_from_a_file(spark, cards, tmp_path):
+    import yaml
+
+    whole = {
+        "version": 1, "exclusion_window": S.WINDOW, "negation_patterns": list(S.NEGATIONS),
+        "categories": {c: {"signals": {n: {"patterns": list(x.patterns), "exclude_patterns": list(x.excluded_by)} for n, x in own.items()}} for c, own in S.SIGNALS.items()},
+    }
+    path = tmp_path / "rules.yaml"
+    path.write_text(yaml.safe_dump(whole, allow_unicode=True))
+    read = rules.read_signals(str(path))
+    assert read == {"signals": S.SIGNALS, "negations": S.NEGATIONS, "window": S.WINDOW}
+    assert rules.decide(cards, **read).select("text_rule_id").collect() == rules.decide(cards).select("text_rule_id").collect()
+    first = next(iter(S.SIGNALS[B]))
+    for change, match in (
+        (lambda w: w.update(version=2), "version"), (lambda w: w.update(more=1), "unknown"), (lambda w: w["categories"].pop(B), "categories: keys"),
+        (lambda w: w["categories"][B]["signals"].pop(first), "signals: keys"), (lambda w: w["categories"][B]["signals"][first].pop("patterns"), "keys are not"),
+        (lambda w: w["categories"][B]["signals"][first].update(patterns=["a", "a"]), "different patterns"), (lambda w: w["categories"][B]["signals"][first].update(patterns=["("]), "invalid regex"),
+        (lambda w: w.update(exclusion_window=-1), "window"),
+    ):
+        bad = yaml.safe_load(yaml.safe_dump(whole, allow_unicode=True))
+        change(bad)
+        path.write_text(yaml.safe_dump(bad, allow_unicode=True))
+        with pytest.raises(ValueError, match=match):
+            rules.read_signals(str(path))
