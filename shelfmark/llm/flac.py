@@ -462,8 +462,9 @@ def feature_of(payload: bytes, kinds: list[int]) -> str:
 
 
 STREAMS = "doc_id long, n_bytes long, media binary"
+#: media: the whole stream in its first block, else null.  kind: of the frame's subframe.
+BLOCKS = "doc_id long, n_bytes long, block long, sample_offset long, samples long, kind int, pcm binary, media binary"
 SAMPLES = "doc_id long, n_bytes long, media binary, payload binary, feature string"
-BLOCKS = "doc_id long, block long, sample_offset long, pcm binary"
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,26 +477,49 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "media": pa.array(media, pa.binary())})
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows in slices(batch, "media"):
-            payloads, kinds = decode(rows.column("media").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array(payloads, pa.binary()), pa.array([feature_of(p, k) for p, k in zip(payloads, kinds, strict=True)])], [*rows.schema.names, "payload", "feature"]
-            )
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in slices(batch, "media"):
             streams = rows.column("media").to_pylist()
-            payloads, _ = decode(streams)
+            payloads, kinds = decode(streams)
             held = []
-            for doc_id, stream, p in zip(rows.column("doc_id").to_pylist(), streams, payloads, strict=True):
-                block = _metadata(memoryview(stream))[4]
-                held += [(doc_id, k, k * block, p[k * block : (k + 1) * block]) for k in range(-(-len(p) // block))]
-            columns = list(zip(*held, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "block", "sample_offset", "pcm"])
+            for doc_id, n_bytes, stream, p, own in zip(rows.column("doc_id").to_pylist(), rows.column("n_bytes").to_pylist(), streams, payloads, kinds, strict=True):
+                size = _metadata(memoryview(stream))[4]
+                held += [(doc_id, n_bytes, k, k * size, len(p), kind, p[k * size : (k + 1) * size], None if k else stream) for k, kind in enumerate(own)]
+            columns = list(zip(*held, strict=True)) or [()] * 8
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SAMPLES from BLOCKS in the order they were decoded in."""
+    held: list[tuple] = []
+    first: tuple = ()
+    parts: list[bytes] = []
+    kinds: list[int] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], [x.split()[0] for x in SAMPLES.split(", ")])
+
+    for batch in batches:
+        for doc_id, n_bytes, block, offset, samples, kind, pcm, media in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block == 0:
+                first, parts, kinds, size = (doc_id, n_bytes, media), [], [], 0
+            if block != len(parts) or offset != size:
+                raise RuntimeError(f"block {block} at sample {offset} came after {size} samples")
+            parts.append(pcm)
+            kinds.append(kind)
+            size += len(pcm)
+            if size == samples:
+                payload = b"".join(parts)
+                held.append((*first, payload, feature_of(payload, kinds)))
+                if len(held) == 256 or size > 1 << 20:
+                    yield out()
+                    held.clear()
+    if held:
+        yield out()
 
 
 def to_flac(docs: DataFrame) -> DataFrame:
@@ -503,11 +527,11 @@ def to_flac(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_encode, STREAMS)
 
 
-def from_flac(streams: DataFrame) -> DataFrame:
-    """SAMPLES: the streams with the payload read back and its feature."""
-    return streams.select("doc_id", "n_bytes", "media").mapInArrow(_decode, SAMPLES)
+def pcm_blocks(streams: DataFrame) -> DataFrame:
+    """BLOCKS of STREAMS: decoded PCM with the number of each block's first sample, for seeking."""
+    return streams.select("doc_id", "n_bytes", "media").mapInArrow(_blocks, BLOCKS)
 
 
-def pcm_blocks(streams: DataFrame) -> DataFrame:
-    """BLOCKS of streams (doc_id, media): decoded PCM with each block's first sample number, for seeking."""
-    return streams.select("doc_id", "media").mapInArrow(_blocks, BLOCKS)
+def from_flac(streams: DataFrame) -> DataFrame:
+    """SAMPLES: the streams with the payload put together from their PCM blocks, in place, and its feature."""
+    return pcm_blocks(streams).mapInArrow(_joined, SAMPLES)
