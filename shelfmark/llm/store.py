@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from shelfmark.sources.scratch import materialise, shared_dir
+from shelfmark.sources.scratch import discard, materialise, shared_dir
 
-__all__ = ["bounded_batches", "materialise", "shared_dir"]
+__all__ = ["bounded_batches", "discard", "materialise", "shared_dir"]
 
 
 def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:

@@ -15,8 +15,11 @@ Anchors with more distinct segments than HOT_SEGMENTS, such as the edges of a pa
 are not gathered: each of their strings becomes a segment of its own, and equal ones meet by aggregation.
 
 Defined cases: a null text is an empty one; texts shorter than `least` keep all bytes; null or repeated ids are documents
-like any others (if any id repeats or is null, rows go by a 64-bit hash of id and text; equal rows are copies of each
-other); an empty table gives an empty result; a cut may split a UTF-8 character, and `cleaned` drops its torn bytes.
+like any others (if any id repeats or is null, rows are numbered first; equal rows are copies of each other); an empty table
+gives an empty result; a cut may split a UTF-8 character, whose torn bytes stay unless whole_characters is asked for.
+
+Which strings repeat is told by 64-bit hashes of anchors and whole segments, and within an anchor byte by byte (above
+HOT_SEGMENTS by hashes of the strings).
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .buffers import mix, raw, slices
-from .store import materialise
+from .store import discard, materialise
 
 LEAST = 400
 GRAM = 32
@@ -40,6 +43,8 @@ BATCH_BYTES = 2 << 20
 TILE = 1 << 20
 SEGMENTS = "row long, start long, strings int, place short, anchor long, segment long"
 SPANS = "anchor long, segment long, runs array<int>"
+PIECES = "anchor long, segment long, place short, hot boolean, bytes binary"
+CUT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary"}
 
 _VALUE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x2545F4914F6CDD1D
@@ -296,100 +301,95 @@ def expand_intervals(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From text and spans (start and end of covered bytes, may overlap) to sizes, runs and the bytes that stay."""
-    for batch in batches:
-        for rows in slices(batch, "text"):
-            data, offsets = raw(rows.column("text"))
-            spans = rows.column("spans").to_pylist()
-            kept, sizes, removed, runs = [], [], [], []
-            for i, own in enumerate(spans):
-                text = data[offsets[i] : offsets[i + 1]]
-                sizes.append(len(text))
-                if not own:
-                    kept.append(text.tobytes())
-                    removed.append(0)
-                    runs.append(0)
-                    continue
-                edge = np.zeros(len(text) + 1, np.int32)
-                np.add.at(edge, [s["a"] for s in own], 1)
-                np.add.at(edge, [s["b"] for s in own], -1)
-                covered = np.cumsum(edge)[:-1] > 0
-                kept.append(text[~covered].tobytes())
-                removed.append(int(covered.sum()))
-                runs.append(len(runs_of(covered)) // 2)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("row"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
-                ["row", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
-            )
+def cut_out(whole_characters: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows with bytes and spans (start and end of covered bytes, may overlap) to the other columns and CUT."""
+
+    def left(text: np.ndarray, own: list[dict[str, int]]) -> tuple[bytes, int, int]:
+        edge = np.zeros(len(text) + 1, np.int32)
+        np.add.at(edge, [s["a"] for s in own], 1)
+        np.add.at(edge, [s["b"] for s in own], -1)
+        covered = np.cumsum(edge)[:-1] > 0
+        return text[~covered].tobytes(), int(covered.sum()), len(runs_of(covered)) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "_bytes"):
+                data, offsets = raw(rows.column("_bytes"))
+                texts = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                done = [left(t, own) if own else (t.tobytes(), 0, 0) for t, own in zip(texts, rows.column("_spans").to_pylist(), strict=True)]
+                digests = [hashlib.sha256(k).hexdigest() for k, _, _ in done]
+                kept = [k.decode("utf-8", "ignore").encode() if n and whole_characters else k for k, n, _ in done]
+                values = ([len(t) for t in texts], [n for _, n, _ in done], [n for _, _, n in done], digests, kept)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                others = rows.drop_columns(["_bytes", "_spans"])
+                yield pa.RecordBatch.from_arrays([*others.columns, *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], [*others.schema.names, *CUT])
+
+    return run
 
 
 def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From text and wanted (segments of it) to anchor, segment, place, bytes."""
+    """From text and wanted (segments of it) to PIECES."""
     for batch in batches:
         for rows in slices(batch, "text"):
             data, offsets = raw(rows.column("text"))
-            out: list[tuple[int, int, int, bytes]] = []
+            out: list[tuple[int, int, int, bool, bytes]] = []
             for i, own in enumerate(rows.column("wanted").to_pylist()):
                 base = int(offsets[i])
-                out += [(w["anchor"], w["segment"], w["place"], data[base + w["start"] : base + w["end"]].tobytes()) for w in own]
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int16(), pa.binary()), strict=True)], ["anchor", "segment", "place", "bytes"])
+                out += [(w["anchor"], w["segment"], w["place"], w["hot"], data[base + w["start"] : base + w["end"]].tobytes()) for w in own]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int16(), pa.bool_(), pa.binary()), strict=True)], ["anchor", "segment", "place", "hot", "bytes"])
 
 
 def repeated_spans(texts: DataFrame, least: int = LEAST, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(row, a, b): bytes a to b of text row are covered by strings that start elsewhere too; spans may overlap."""
     found = materialise(texts.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(find_segments(least), SEGMENTS), "repeat-segments")
-    distinct = found.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "strings", "place")).alias("at"))
-    anchors = distinct.groupBy("anchor").agg(F.sum("copies").alias("times"), F.count("*").alias("kinds")).filter("times > 1")
+    often = found.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
+    met = materialise(found.join(often, "anchor", "left_semi").select(found.columns), "repeat-met")  # few of all: most anchors occur once
+    discard(found)
+    distinct = met.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start", "strings", "place")).alias("at"))
+    anchors = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))
     shared = materialise(distinct.join(anchors, "anchor"), "repeat-shared")
     whole = shared.filter("copies > 1").select("anchor", "segment", F.array(F.lit(0), F.col("at.strings") - 1).alias("runs"))
     open_rows = shared.filter("kinds > 1")
     wanted = open_rows.groupBy(F.col("at.row").alias("row")).agg(
-        F.collect_list(F.struct("anchor", "segment", F.col("at.place").alias("place"), F.col("at.start").alias("start"), (F.col("at.start") + F.col("at.strings") + least - 1).alias("end"))).alias("wanted")
+        F.collect_list(F.struct("anchor", "segment", F.col("at.place").alias("place"), (F.col("kinds") > hot_segments).alias("hot"), F.col("at.start").alias("start"), (F.col("at.start") + F.col("at.strings") + least - 1).alias("end"))).alias("wanted")
     )
-    pieces = texts.select("row", F.col("text").cast("binary").alias("text")).join(wanted, "row").select("text", "wanted").mapInArrow(_bytes_of, "anchor long, segment long, place short, bytes binary")
+    pieces = texts.select("row", F.col("text").cast("binary").alias("text")).join(wanted, "row").select("text", "wanted").mapInArrow(_bytes_of, PIECES)
     pieces = materialise(pieces, "repeat-pieces")
-    hot = anchors.filter(F.col("kinds") > hot_segments).select("anchor")
-    usual = pieces.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    spans = usual.mapInArrow(expand_intervals(least), SPANS)
-    strings = pieces.join(hot, "anchor", "left_semi").mapInArrow(split_strings(least), "anchor long, segment long, place int, string long")
+    # Straight from a scan: after a join on anchor this exchange would be left out, and a skewed partition of the join split.
+    spans = pieces.filter("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
+    spans = spans.mapInArrow(expand_intervals(least), SPANS)
+    strings = pieces.filter("hot").mapInArrow(split_strings(least), "anchor long, segment long, place int, string long")
     strings = strings.join(strings.groupBy("anchor", F.col("string").alias("s")).agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("anchor", "at"), F.expr("anchor = at and string = s"))
     single = strings.select("anchor", "segment", F.array("place", "place").alias("runs"))
     marked = materialise(whole.unionByName(spans).unionByName(single), "repeat-marked")
-    runs = found.join(marked, ["anchor", "segment"]).select("row", "start", F.explode(F.expr("transform(sequence(0, size(runs) - 2, 2), i -> struct(runs[i] as f, runs[i + 1] as l))")).alias("run"))
+    discard(shared, pieces)
+    runs = met.join(marked, ["anchor", "segment"]).select("row", "start", F.explode(F.expr("transform(sequence(0, size(runs) - 2, 2), i -> struct(runs[i] as f, runs[i + 1] as l))")).alias("run"))
     return runs.select("row", (F.col("start") + F.col("run.f")).alias("a"), (F.col("start") + F.col("run.l") + least).alias("b"))
 
 
-def with_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, bool]:
-    """(docs with _row long, whether that is the id): where any id repeats or is null, it is a hash of id and text."""
+def with_rows(docs: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, bool]:
+    """(docs with _row long, which no two rows share; whether that is the id): where any id repeats or is null, rows are numbered in a written copy."""
     ids = docs.groupBy(id_column).agg(F.count("*").alias("n"))
     if ids.filter((F.col("n") > 1) | F.col(id_column).isNull()).isEmpty():
         return docs.withColumn("_row", F.col(id_column).cast("long")), True
-    return docs.withColumn("_row", F.xxhash64(id_column, F.coalesce(text_column, F.lit("")))), False
-
-
-def removed(keyed: DataFrame, text_column: str = "text", least: int = LEAST, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """row, n_bytes, n_removed, n_spans, kept, kept_sha256 of what with_rows returned."""
-    text = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
-    return _removed(keyed.select(F.col("_row").alias("row"), text.alias("text")), least, hot_segments)
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "repeat-numbered"), False
 
 
-def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (bytes that stay), kept_sha256."""
-    keyed, by_id = with_rows(docs.select(id_column, text_column), id_column, text_column)
-    if by_id:
-        return removed(keyed, text_column, least, hot_segments).withColumnRenamed("row", id_column)
-    named = keyed.select(F.col("_row").alias("row"), id_column).distinct()
-    return removed(keyed, text_column, least, hot_segments).join(named, "row").drop("row")
+def removed(keyed: DataFrame, text_column: str = "text", least: int = LEAST, hot_segments: int = HOT_SEGMENTS, whole_characters: bool = False) -> DataFrame:
+    """The columns of what with_rows returned but the text, then n_bytes, n_removed, n_spans, kept_sha256, kept.
 
-
-def cleaned(kept: str = "kept") -> Column:
-    """The bytes that stay as text, without characters that a cut has torn."""
-    return F.replace(F.expr(f"make_valid_utf8(cast({kept} as string))"), F.lit("\ufffd"), F.lit(""))
-
-
-def _removed(docs: DataFrame, least: int, hot_segments: int) -> DataFrame:
-    spans = repeated_spans(docs, least, hot_segments).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    schema = "row long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-    return docs.join(spans, "row", "left").mapInArrow(cut_out, schema)
+    kept_sha256 is of all bytes that stay; kept holds them all, or with whole_characters not those of characters a cut has torn.
+    """
+    docs = keyed.withColumn("_bytes", F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))).drop(text_column)
+    texts = docs.select(F.col("_row").alias("row"), F.col("_bytes").alias("text"))
+    spans = repeated_spans(texts, least, hot_segments).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
+    docs = docs.join(spans, F.col("_row") == F.col("row"), "left").drop("row")
+    others = [f"`{n}` {t}" for n, t in docs.dtypes if n not in ("_bytes", "_spans")]
+    return docs.mapInArrow(cut_out(whole_characters), ", ".join([*others, *(f"{n} {t}" for n, t in CUT.items())]))
+
+
+def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, hot_segments: int = HOT_SEGMENTS, whole_characters: bool = False) -> DataFrame:
+    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, kept (see removed)."""
+    keyed, _ = with_rows(docs.select(id_column, text_column), id_column)
+    return removed(keyed, text_column, least, hot_segments, whole_characters).drop("_row")
