@@ -29,7 +29,7 @@ def op1_error_correcting_language_id(spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def op2_flac_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = flac.from_flac(flac.to_flac(table(spark, sf_dir, "documents")))
+    back = flac.from_flac(store.materialise(flac.to_flac(table(spark, sf_dir, "documents")), "flac"))
     return back.select(
         "doc_id",
         "n_bytes",
@@ -47,7 +47,8 @@ def op3_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bwt_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+    done = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), whole_characters=True)
+    return done.withColumn("text", F.col("kept").cast("string")).drop("kept")
 
 
 def op5_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

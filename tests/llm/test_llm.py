@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -113,6 +114,34 @@ def test_flac_rice_partitions_and_escapes():
     assert flac.decode([flac.container(payload, [frame_], 8)])[0] == [payload]
 
 
+def plain_crc(data, poly, width):
+    """Bit by bit, from the definition."""
+    crc = 0
+    for byte in data:
+        for bit in range(7, -1, -1):
+            top = crc >> (width - 1) & 1
+            crc = (crc << 1 & (1 << width) - 1) ^ (poly if top ^ (byte >> bit & 1) else 0)
+    return crc
+
+
+def test_flac_reads_a_fixed_stream():
+    """A stream written by hand from the format's definition: LPC of order 2, Rice parameter 2; its sums are worked out apart."""
+    x = [10, 12, 13, 17, 16, 20, 25, 21]
+    bits = f"{0b0_100001_0:08b}" + "".join(f"{v & 255:08b}" for v in x[:2]) + f"{5 - 1:04b}" + f"{2:05b}" + f"{7:05b}" + f"{-3 & 31:05b}" + "00" + "0000" + f"{2:04b}"
+    for i in range(2, len(x)):
+        v = x[i] - ((7 * x[i - 1] - 3 * x[i - 2]) >> 2)
+        u = 2 * v if v >= 0 else -2 * v - 1
+        bits += "0" * (u >> 2) + "1" + f"{u & 3:02b}"
+    bits = bits.ljust(-(-len(bits) // 8) * 8, "0")
+    head = bytes([0xFF, 0xF8, 6 << 4 | 4, 2, 0, 7])
+    assert (plain_crc(b"123456789", 0x07, 8), plain_crc(b"123456789", 0x8005, 16)) == (0xF4, 0xFEE8)  # the sums' published check values
+    frame_ = head + bytes([plain_crc(head, 0x07, 8)]) + int(bits, 2).to_bytes(len(bits) // 8, "big")
+    frame_ += plain_crc(frame_, 0x8005, 16).to_bytes(2, "big")
+    info = (8).to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | 0 << 41 | 7 << 36 | 8).to_bytes(8, "big") + hashlib.md5(bytes(v & 255 for v in x)).digest()
+    stream = b"fLaC" + bytes([0x80, 0, 0, 34]) + info + frame_
+    assert flac.decode([stream]) == ([bytes(v + 128 for v in x)], [[33]])
+
+
 def test_flac_query_contract(spark, texts):
     rows = queries.op2_flac_round_trip(spark, SF).collect()
     assert len(rows) == len(texts)
@@ -122,6 +151,10 @@ def test_flac_query_contract(spark, texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
     odd = flac.from_flac(flac.to_flac(frame(spark, ODD, extra=True))).collect()
     assert {r.doc_id: bytes(r.payload) for r in odd} == {i: flac.payload_of((t or "").encode()) for i, t in enumerate(ODD)}
+    twice = spark.createDataFrame([(1, "a" * 700), (1, "a" * 700), (None, "b" * 2000), (None, None)], "doc_id long, text string")
+    assert sorted(bytes(r.payload)[:3] for r in flac.from_flac(flac.to_flac(twice)).collect()) == [b"aaa", b"aaa", b"bbb", b"\xff" * 3]
+    long = "long text, no end " * 130_000  # beyond a slice and a batch
+    assert bytes(flac.from_flac(flac.to_flac(frame(spark, ["a", long, "b"]))).filter("doc_id = 1").first().payload).startswith(long.encode())
     blocks = flac.pcm_blocks(flac.to_flac(frame(spark, ["z" * 1500]))).orderBy("block").collect()
     assert [b.sample_offset for b in blocks] == [0, 576, 1152] and b"".join(bytes(b.pcm) for b in blocks)[:1500] == b"z" * 1500
     assert flac.from_flac(flac.to_flac(frame(spark, []))).count() == 0
@@ -395,9 +428,26 @@ def test_unigram_viterbi_is_optimal():
 # 7
 
 
-def test_communication_matrix_has_exact_sums():
-    m = sharding.communication_matrix(np.array([5, 0, 17, 3]), 4, 1)
-    assert m.sum(axis=1).tolist() == [5, 0, 17, 3] and sorted(m.sum(axis=0).tolist()) == [6, 6, 6, 7] and (m >= 0).all()
+def test_lines_of_the_communication_matrix():
+    counts = np.array([5, 0, 17, 3])
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    m = np.array([sharding.share_of(ends, p, 4, 1) for p in range(4)])
+    assert m.sum(axis=1).tolist() == [5, 0, 17, 3] and m.sum(axis=0).tolist() == [7, 6, 6, 6] and (m >= 0).all()
+    many = np.array([sharding.share_of(np.array([0, 30, 40, 100]), 1, 4, seed) for seed in range(4000)])
+    assert np.allclose(many.mean(axis=0), 2.5, atol=0.08) and np.allclose(many.var(axis=0), 10 * 0.25 * 0.75 * 90 / 99, atol=0.12)
+
+
+def test_hypergeometric_draws_of_large_populations(monkeypatch):
+    draw = np.random.default_rng(3)
+    good, bad, sample = 3 * 10**9, 21 * 10**9, 10**9
+    x = np.array([sharding.hypergeometric(draw, good, bad, sample) for _ in range(300)], float)
+    mean, var = sample / 8, sample / 8 * 7 / 8 * (23 / 24)
+    assert abs(x.mean() - mean) < 5 * np.sqrt(var / 300) and 0.7 < x.var() / var < 1.35
+    monkeypatch.setattr(sharding, "_MOST", 0)
+    got = np.bincount([sharding.hypergeometric(draw, 5, 7, 4) for _ in range(20_000)], minlength=5) / 20_000
+    want = np.array([35, 175, 210, 70, 5]) / 495
+    assert np.allclose(got, want, atol=0.015)
+    assert [sharding.hypergeometric(draw, *x) for x in ((0, 9, 4), (9, 0, 4), (3, 3, 6), (2, 2, 0))] == [0, 4, 3, 0]
 
 
 def test_sharding_contract(spark, texts):
@@ -521,17 +571,49 @@ def test_warc_round_trip(spark):
 
 def test_warc_reader_rejects_damage():
     good = warc._record(1, "u", b"payload", base64.b32encode(hashlib.sha1(b"payload").digest()).decode(), None, 6)
-    assert [r[2] for r in warc.parse("a", good + good)] == ["response", "response"]
+    assert [r[2] for r in warc.parse("a", [good + good])] == ["response", "response"]
     bad = warc._record(1, "u", b"payload", "A" * 32, None, 6)
     for content in (good[:-5], bad, b"junk", zlib.compress(b"x")):
         with pytest.raises((ValueError, zlib.error)):
-            list(warc.parse("a", content))
+            list(warc.parse("a", [content]))
 
 
 def test_warc_files(spark, tmp_path):
     record = warc._record(7, "u", b"p" * 100, base64.b32encode(hashlib.sha1(b"p" * 100).digest()).decode(), None, 6)
     (tmp_path / "one.warc.gz").write_bytes(record * 3)
-    assert warc.read_files(spark, str(tmp_path)).count() == 3
+    assert warc.read_files(spark, str(tmp_path)).count() == 3 == warc.read_files(spark, str(tmp_path), through_spark=True).count()
+    pages = spark.createDataFrame([(i, "u", bytes([i]) * 50) for i in range(9)], "page_id long, url string, payload binary")
+    written = warc.write_files(warc.write_archives(pages, volume_bytes=300), f"file://{tmp_path}/out")
+    assert written.agg({"records": "sum"}).first()[0] == 9
+    assert {r.page_id: bytes(r.payload) for r in warc.read_files(spark, f"{tmp_path}/out").collect()} == {i: bytes([i]) * 50 for i in range(9)}
+
+
+def foreign(kind, block, *headers, kind_of="application/http; msgtype=response"):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", f"Content-Type: {kind_of}", *headers, f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_warc_reader_takes_archives_of_other_writers():
+    """warcinfo, request, chunked and unsized responses, metadata; in chunks of any size, across members."""
+    sha = "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"hello world").digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\n"
+    data = b"".join([
+        foreign("warcinfo", b"software: x\r\n", kind_of="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Target-URI: <http://a/>", kind_of="application/http; msgtype=request"),
+        foreign("response", http + b"Transfer-Encoding: chunked\r\n\r\n6\r\nhello \r\n5;x=y\r\nworld\r\n0\r\n\r\n", "WARC-Target-URI: http://a/", sha),
+        foreign("response", http + b"Server: s\r\n folded\r\n\r\nhello world"),
+        foreign("response", http + b"Content-Length: 99\r\n\r\nhello", "WARC-Truncated: length", sha),
+        foreign("revisit", http + b"\r\n", sha),
+        foreign("resource", b"raw bytes", kind_of="image/png"),
+        foreign("metadata", b"a: b\r\n", kind_of="application/warc-fields"),
+    ])
+    for step in (1, 7, 1000, len(data)):
+        got = list(warc.parse("f", [data[i : i + step] for i in range(0, len(data), step)]))
+        assert [(r[2], r[-1]) for r in got] == [("warcinfo", None), ("request", None), ("response", b"hello world"), ("response", b"hello world"), ("response", b"hello"), ("revisit", None), ("resource", b"raw bytes"), ("metadata", None)]
+        assert got[2][4] == "http://a/" == got[1][4] and got[3][8] == got[2][8] == got[5][8] and got[0][5] is None
+    for bad in (foreign("response", http + b"\r\nother", sha), foreign("response", http + b"Content-Length: 9\r\n\r\nother"), foreign("resource", b"x", sha, kind_of="text/plain"), data[:-3], b"plain text"):
+        with pytest.raises(ValueError, match="^f: "):
+            list(warc.parse("f", [bad]))
 
 
 # all
