@@ -3,10 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
 next one's docs.  All but the last return the columns of documents:
 
-1. language id: a document without any letter is rejected; the others get their predicted language as lang.
+1. language id: a document without any letter is rejected; the others get their predicted language as lang, or keep
+   what they have where no document has a language to learn from.
 2. exact dedup: of equal texts the row with the largest doc_id stays.
 3. near dedup: of each component the row with the smallest doc_id stays; texts under one doc_id are told apart.
-4. substring dedup: bytes of repeated strings go; a document of which nothing but blanks is left goes with them.
+4. substring dedup: bytes of strings of PASSAGE_BYTES that repeat go; a document of which nothing but blanks is left goes
+   with them.
 5. packing: pieces of token sequences.
 
 Defined cases: a null text is an empty one, and goes in stage 1; null lang, source or n_chars pass through (lang is set in
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.llm import exact_dedup, language_id, near_dedup, packing, queries, store, substring_dedup
 
+#: A passage of over 50 words has 51 at least, and these, with their blanks, about five bytes each or more.
+PASSAGE_BYTES = 250
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -30,7 +34,10 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _documents(docs)
-    found = language_id.identify(docs, language_id.learn(docs))
+    model = language_id.learn(docs)
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language_id.identify(docs, model)
     return _documents(found.filter(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.col("lang_pred")))
 
 
@@ -62,12 +69,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed, _ = substring_dedup.with_rows(_documents(docs))
-    done = substring_dedup.removed(keyed).filter("n_removed > 0").select(F.col("row").alias("_row"), "n_removed", substring_dedup.cleaned().alias("clean")).dropDuplicates(["_row"])
-    docs = keyed.join(done, "_row", "left")
-    text = F.when(F.col("n_removed").isNull(), F.col("text")).otherwise(F.col("clean"))
-    left = docs.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed").isNull(), F.col("n_chars")).otherwise(F.length("clean").cast("long")))
-    return _documents(left.filter(F.col("n_removed").isNull() | F.col("text").rlike(r"\S")))
+    keyed, _ = substring_dedup.with_rows(_documents(docs).withColumn("_null", F.col("text").isNull()))
+    done = substring_dedup.removed(keyed, least=PASSAGE_BYTES, whole_characters=True)
+    done = done.withColumns({"_cut": F.col("n_removed") > 0, "text": F.when(~F.col("_null"), F.col("kept").cast("string"))})
+    left = done.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return _documents(left.filter(~F.col("_cut") | F.col("text").rlike(r"\S")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
