@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .buffers import raw, slices
+from .buffers import lean, raw, slices
 
 PAIRS, TRIPLES = 1 << 12, 1 << 13
 FEATURES = PAIRS + TRIPLES
@@ -137,7 +137,7 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, tasks: int = 12) -> Mod
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * train_rows / there))
     parts = rows.filter(F.col("text").isNotNull()).select("doc_id", "lang", "text").repartition(tasks, "doc_id").select("lang", "text")
     total: dict[str, np.ndarray] = {}
-    for row in parts.mapInArrow(_count, "lang string, counts binary").toLocalIterator():  # one row for each task and language
+    for row in parts.mapInArrow(lean(_count), "lang string, counts binary").toLocalIterator():  # one row for each task and language
         total[row["lang"]] = total.get(row["lang"], 0) + np.frombuffer(row["counts"], "<i8")
     return model_of(total)
 
@@ -165,5 +165,5 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
     docs = docs.drop(*new)
     rows = docs if text_column == "text" else docs.withColumn("text", F.col(text_column))
     schema = ", ".join([f"`{n}` {t}" for n, t in rows.dtypes] + [PREDICTED])
-    out = rows.mapInArrow(predictor(model), schema)
+    out = rows.mapInArrow(lean(predictor(model)), schema)
     return out.select(*[F.col(f"`{n}`") for n in docs.columns], *new)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from shelfmark.operators.components import connected_components
 
 from . import shingles as S
-from .buffers import raw, slices
+from .buffers import lean, raw, slices
 from .store import materialise
 
 PERCENT = 75
@@ -123,7 +123,7 @@ def beside_hubs(pairs: DataFrame, sets: DataFrame, function, schema: str) -> Dat
     salted = pairs.join(wide, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), "id")
     hubs = wide.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("hub").alias("id"))
     rows = salted.unionByName(hubs).join(sets.select("id", "shingles"), "id")
-    return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(function, schema)
+    return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(lean(function), schema)
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def near_links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = materialise(bands.join(sizes.hint("shuffle_hash"), "key"), "near-buckets")
     wanted = buckets.select("id").distinct()
-    sets = materialise(docs.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sets, SETS), "near-sets")
+    sets = materialise(docs.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(lean(_sets), SETS), "near-sets")
     first = materialise(compared(_hub_pairs(buckets), sets), "near-first")
     parts = connected_components(_linked(first), lambda df: materialise(df, "near-part"))
     around = materialise(_around_centres(first, buckets, parts), "near-around")
@@ -245,7 +245,7 @@ def near_links(docs: DataFrame, sketched: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept, class_id (smallest id with an equal set)."""
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    sketched = materialise(docs.mapInArrow(_sketch, SKETCHES), "near-sketch")
+    sketched = materialise(docs.mapInArrow(lean(_sketch), SKETCHES), "near-sketch")
     parts = connected_components(near_links(docs, sketched), lambda df: materialise(df, "near-part"))
     classes = sketched.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("class_id"))
     classes = classes.join(parts, F.col("class_id") == F.col("node"), "left").select("d1", "d2", "n", "class_id", F.coalesce("component", "class_id").alias("part"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .buffers import slices
+from .buffers import lean, slices
 from .vocabulary import encoder
 
 WIDTH = 4096
@@ -162,4 +162,4 @@ def pack_partition(path: str, width: int, block: int) -> Callable[[Iterator[pa.R
 
 def pack(docs: DataFrame, tokenizer_path: str, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """PIECES of docs (doc_id long, text string).  No shuffle: each partition fills its own sequences."""
-    return docs.select("doc_id", "text").mapInArrow(pack_partition(tokenizer_path, width, block), PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lean(pack_partition(tokenizer_path, width, block)), PIECES)

@@ -6,13 +6,12 @@ its chunks in order; a chunk is encoded by the tokenizer itself and its ids kept
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import os
 import re
 import threading
 from collections.abc import Iterator
-from contextlib import contextmanager, suppress
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -20,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .buffers import give_back
+
 #: Ids the cache holds before it starts anew; longer chunks than LONG are encoded but not kept.
 MOST_IDS = 5_000_000
 LONG = 64
@@ -101,7 +102,7 @@ class ChunkEncoder:
         return out
 
 
-#: Seconds after a task's end at which a worker that has no other of the kind gives the cache's memory back.
+#: Seconds after a task's end at which a worker that has no other of the kind gives the encoder's memory back.
 IDLE_SECONDS = 4.0
 _lock, _users = threading.Lock(), [0]
 
@@ -131,7 +132,8 @@ def _give_back(own: ChunkEncoder) -> None:
     with _lock:
         if _users[0]:
             return
+        _encoder.cache_clear()
         own.clear()
+    del own
     gc.collect()
-    with suppress(AttributeError, OSError):  # only glibc has it
-        ctypes.CDLL(None).malloc_trim(0)
+    give_back()
