@@ -28,8 +28,8 @@ from .vocabulary import encoder
 WIDTH = 4096
 END_ID = 2
 SENTENCE, TRUNCATION, GRID = 4, 48, 64
-#: Bytes of text that are encoded together: the larger, the fewer distinct chunks to look up for each word.
-SLICE = 4 << 20
+#: Bytes of text that are encoded together: the larger, the fewer distinct chunks to look up for each word, and the larger the temporaries.
+SLICE = 1 << 20
 #: Tokens of a block.
 BLOCK = 1 << 19
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

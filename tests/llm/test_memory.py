@@ -2,12 +2,14 @@
 
 import gc
 import random
+import re
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from shelfmark.llm import buffers, substring_dedup
+from shelfmark.llm import buffers, queries, substring_dedup, vocabulary
 
 
 def random_text(n: int) -> str:
@@ -40,3 +42,62 @@ def test_memory_is_given_back_when_a_task_ends(monkeypatch, stop_early):
     else:
         assert list(out) == batches[1:]
     assert calls == [1]
+
+
+def words(r: random.Random, n: int) -> list[str]:
+    marks = ["", "", ",", "...", "'s", "!%", "(", "é.", "日", "1", "İ", "İ,", "́", "<|endoftext|>", "　", "." + '"' * 9]
+    return ["".join(r.choices("abcdefghijklmnopqrstuvwxyzßñ", k=r.randrange(3, 9))) + r.choice(marks) for _ in range(n)]
+
+
+def test_the_encoders_cache_is_compact():
+    """A dictionary of strings takes more than 170 bytes for each chunk."""
+    encoder = vocabulary.ChunkEncoder(queries.tokenizer_path("word_bpe_49k.json"))
+    r = random.Random(5)
+    own = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(100_000)]
+    texts = [pa.array([" ".join(own[i : i + 5000])]) for i in range(0, len(own), 5000)]
+    tracemalloc.start()
+    for text in texts:
+        encoder.encode(text)
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 100 * len(set(own))
+
+
+def test_few_texts_go_to_the_tokenizer(monkeypatch):
+    """A call for each word costs more than the words' ids."""
+    encoder = vocabulary.ChunkEncoder(queries.tokenizer_path("word_bpe_49k.json"))
+    sent = []
+    real = encoder.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            sent.extend(texts)
+            return real.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    encoder.tokenizer = Counting()
+    r = random.Random(6)
+    own = ["".join(r.choices("abcdefghij", k=7)) + r.choice(["", ","]) for _ in range(4000)]
+    ids, *_ = encoder.encode(pa.array([" ".join(own)]))
+    assert ids.tolist() == real.encode(" ".join(own), add_special_tokens=False).ids and len(sent) < 20
+
+
+@pytest.mark.parametrize("same_hash", [False, True])
+@pytest.mark.parametrize("most", [5_000_000, 300])
+def test_ids_are_the_tokenizers_whatever_the_cache(monkeypatch, same_hash, most):
+    """Also where chunks share a hash, the cache starts anew, and words put together are more than they look like."""
+    monkeypatch.setattr(vocabulary, "MOST_IDS", most)
+    if same_hash:
+        monkeypatch.setattr(vocabulary, "chunk_keys", lambda data, offsets: (np.diff(offsets) % 3).astype(np.uint64))
+    encoder = vocabulary.ChunkEncoder(queries.tokenizer_path("word_bpe_49k.json"))
+    assert encoder.last is not None
+    r = random.Random(7)
+    known = words(r, 300) + ["x" * 90, "y" * 90 + ","]
+    for _ in range(6):
+        texts = [" ".join(r.choices(known, k=r.randrange(60))) for _ in range(20)] + ["", None, " a  b "]
+        ids, sizes, ends, per_row = encoder.encode(pa.array(texts, pa.string()))
+        edge = np.concatenate([[0], np.cumsum(sizes)])
+        for i, t in enumerate(texts):
+            assert ids[edge[i] : edge[i + 1]].tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert per_row.tolist() == [sum(re.search(r"[.!?…。！？][\"'”’»)\]]*\Z", c[-8:]) is not None for c in re.split(r"[ \t\n\v\f\r]+", t or "")) for t in texts]
+        assert len(ends) == per_row.sum()
