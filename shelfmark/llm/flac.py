@@ -24,14 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .buffers import raw, slices
+from .buffers import lean, raw, slices
 
 BLOCK = 576
 RATE = 8000
 PAD = 255
 LPC_ORDER, LPC_BITS = 4, 12
-#: Frames that one vectorised step works on.
-LANES = 2048
+#: Frames that are encoded at once (40 kB of temporaries each), and that are decoded side by side, where a step costs the same for few.
+ENCODED, LANES = 512, 2048
+#: Bytes of payloads and streams in one batch of results, or one row.
+BATCH_BYTES = 1 << 20
 
 
 def _crc_table(poly: int, width: int, word: int) -> np.ndarray:
@@ -70,6 +72,11 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return crc
 
 
+def _crc_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, crc: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """CRC of each data[start:end]."""
+    return np.concatenate([crc(_right(data, starts[i : i + ENCODED], ends[i : i + ENCODED])) for i in range(0, len(starts), ENCODED)])
+
+
 def _utf8_number(n: int) -> bytes:
     if n < 0x80:
         return bytes([n])
@@ -184,7 +191,7 @@ def encode_frames(x: np.ndarray, numbers: list[int]) -> list[bytes]:
 
     def checked(parts: list[bytes], crc: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         ends = np.cumsum([len(p) for p in parts])
-        return crc(_right(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], ends[:-1]]), ends))
+        return _crc_of(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], ends[:-1]]), ends, crc)
 
     frames = [h + bytes([c]) + b for h, c, b in zip(heads, checked(heads, crc8).tolist(), bodies, strict=True)]
     return [f + struct.pack(">H", c) for f, c in zip(frames, checked(frames, crc16).tolist(), strict=True)]
@@ -216,9 +223,9 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
         if rest:
             frames[i][whole] = encode_frames((np.frombuffer(p, np.uint8, rest, whole * block)[None, :].astype(np.int16) - 128), [whole])[0]
     data = np.frombuffer(b"".join(p[: len(p) // block * block] for p in payloads), np.uint8).reshape(-1, block)
-    for at in range(0, len(full), LANES):
-        own = full[at : at + LANES]
-        for (i, k), f in zip(own, encode_frames(data[at : at + LANES].astype(np.int16) - 128, [k for _, k in own]), strict=True):
+    for at in range(0, len(full), ENCODED):
+        own = full[at : at + ENCODED]
+        for (i, k), f in zip(own, encode_frames(data[at : at + ENCODED].astype(np.int16) - 128, [k for _, k in own]), strict=True):
             frames[i][k] = f
     return [container(p, f, block) for p, f in zip(payloads, frames, strict=True)]
 
@@ -230,7 +237,8 @@ class _Bits:
         padded = np.concatenate([data, np.zeros(16, np.uint8)])
         words = np.zeros(len(data) + 8, np.uint64)
         for j in range(8):
-            words = words << np.uint64(8) | padded[j : j + len(words)]
+            words <<= np.uint64(8)
+            words |= padded[j : j + len(words)]
         self.words = words
 
     def window(self, at: np.ndarray) -> np.ndarray:
@@ -273,7 +281,7 @@ def _rice_codes(bits: _Bits, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray,
 
 
 def _decode_lanes(data: np.ndarray, bits: _Bits, starts: np.ndarray, expect: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(samples, bytes where the frames end, kind of subframe) of a frame for each lane; expect: frame numbers; size: samples left."""
+    """(samples + 128, bytes where the frames end, kind of subframe) of a frame for each lane; expect: frame numbers; size: samples left."""
     head = data[np.minimum(starts[:, None] + np.arange(4), len(data) - 1)]
     if not ((head[:, 0] == 0xFF) & (head[:, 1] == 0xF8) & (head[:, 2] & 15 == 4) & (head[:, 3] == 2)).all():
         raise ValueError("a frame header is missing or not mono, 8 bits, fixed block size")
@@ -290,28 +298,29 @@ def _decode_lanes(data: np.ndarray, bits: _Bits, starts: np.ndarray, expect: np.
     at = at + (code == 6) + 2 * (code == 7)
     if (number != expect).any() or (n > size).any():
         raise ValueError("a frame has the wrong number or size")
-    if (crc8(_right(data, starts, at)) != data[at]).any():
+    if (_crc_of(data, starts, at, crc8) != data[at]).any():
         raise ValueError("a frame header's CRC-8 differs")
     sub = data[at + 1].astype(np.int64)
     if (sub & 0x81).any():
         raise ValueError("a subframe with wasted bits or a bad mark")
     kind = sub >> 1
     at = (at + 2) * 8
-    samples: list[np.ndarray] = [np.zeros(0, np.int64)] * len(starts)
+    samples: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(starts)
     for group in sorted({*zip(n.tolist(), np.where(kind >= 8, 2, kind).tolist(), strict=True)}):
         rows = np.flatnonzero((n == group[0]) & (np.where(kind >= 8, 2, kind) == group[1]))
         if group[1] < 2:
             wide = group[0] if group[1] else 1
-            got = data[at[rows, None] // 8 + np.arange(wide)].view(np.int8).astype(np.int64)
+            got = data[at[rows, None] // 8 + np.arange(wide)] ^ 128
             for r, s in zip(rows, got, strict=True):
                 samples[r] = s if group[1] else np.repeat(s, group[0])
             at[rows] += 8 * wide
         else:
             out, at[rows] = _predicted(bits, at[rows], kind[rows], group[0])
-            for r, s in zip(rows, out.T, strict=True):
+            out += 128
+            for r, s in zip(rows, np.ascontiguousarray(out.astype(np.uint8).T), strict=True):
                 samples[r] = s
     ends = (at + 7) // 8
-    if (crc16(_right(data, starts, ends)) != (data[ends].astype(np.uint16) << 8 | data[ends + 1])).any():
+    if (_crc_of(data, starts, ends, crc16) != (data[ends].astype(np.uint16) << 8 | data[ends + 1])).any():
         raise ValueError("a frame's CRC-16 differs")
     return samples, ends + 2, kind
 
@@ -426,7 +435,7 @@ def decode(streams: list[bytes | memoryview]) -> tuple[list[bytes], list[list[in
             at = np.array([a for _, a, _, _ in own])
             got, ends, kind = _decode_lanes(data, bits, np.array([p for *_, p in own]), at // blocks, np.array([z - a for _, a, z, _ in own]))
             for (i, a, z, _), samples, end, t in zip(own, got, ends.tolist(), kind.tolist(), strict=True):
-                out[i][a : a + len(samples)] = (samples + 128).astype(np.uint8)
+                out[i][a : a + len(samples)] = samples
                 kinds[i][a] = t
                 if a + len(samples) < z:
                     left.append((i, a + len(samples), z, end))
@@ -443,7 +452,8 @@ def payload_of(text: bytes, block: int = BLOCK) -> bytes:
 
 def feature_of(payload: bytes, kinds: list[int]) -> str:
     """A summary of the samples read back and of the subframes they were coded in."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    x = np.frombuffer(payload, np.uint8).astype(np.int16) - 128
+    below = x < 0
     names = {0: "constant", 1: "verbatim"}
     count: dict[str, int] = {}
     for k in kinds:
@@ -453,9 +463,9 @@ def feature_of(payload: bytes, kinds: list[int]) -> str:
         {
             "samples": len(x),
             "frames": len(kinds),
-            "energy": int((x * x).sum()),
+            "energy": int((x * x).sum(dtype=np.int64)),
             "peak": int(np.abs(x).max()),
-            "crossings": int(((x[1:] < 0) != (x[:-1] < 0)).sum()),
+            "crossings": int((below[1:] != below[:-1]).sum()),
             "subframes": dict(sorted(count.items())),
         }
     )
@@ -467,7 +477,9 @@ BLOCKS = "doc_id long, n_bytes long, block long, sample_offset long, samples lon
 SAMPLES = "doc_id long, n_bytes long, media binary, payload binary, feature string"
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@lean
+def to_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """STREAMS from texts."""
     for batch in batches:
         for rows in slices(batch, "text"):
             data, offsets = raw(rows.column("text"))
@@ -497,7 +509,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first: tuple = ()
     parts: list[bytes] = []
     kinds: list[int] = []
-    size = 0
+    size = waiting = 0
 
     def out() -> pa.RecordBatch:
         types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string())
@@ -514,24 +526,33 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(pcm)
             if size == samples:
                 payload = b"".join(parts)
-                held.append((*first, payload, feature_of(payload, kinds)))
-                if len(held) == 256 or size > 1 << 20:
+                own = size + len(first[2])
+                if held and waiting + own > BATCH_BYTES:
                     yield out()
                     held.clear()
+                    waiting = 0
+                held.append((*first, payload, feature_of(payload, kinds)))
+                waiting += own
     if held:
         yield out()
 
 
+@lean
+def to_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SAMPLES from streams by way of their BLOCKS, in one worker: blocks that travel through the JVM take a second one beside each task."""
+    return _joined(_blocks(batches))
+
+
 def to_flac(docs: DataFrame) -> DataFrame:
     """STREAMS of docs (doc_id long, text string): each text with its padding as one stream."""
-    return docs.select("doc_id", "text").mapInArrow(_encode, STREAMS)
+    return docs.select("doc_id", "text").mapInArrow(to_streams, STREAMS)
 
 
 def pcm_blocks(streams: DataFrame) -> DataFrame:
     """BLOCKS of STREAMS: decoded PCM with the number of each block's first sample, for seeking."""
-    return streams.select("doc_id", "n_bytes", "media").mapInArrow(_blocks, BLOCKS)
+    return streams.select("doc_id", "n_bytes", "media").mapInArrow(lean(_blocks), BLOCKS)
 
 
 def from_flac(streams: DataFrame) -> DataFrame:
     """SAMPLES: the streams with the payload put together from their PCM blocks, in place, and its feature."""
-    return pcm_blocks(streams).mapInArrow(_joined, SAMPLES)
+    return streams.select("doc_id", "n_bytes", "media").mapInArrow(to_samples, SAMPLES)

@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shelfmark.llm import buffers, queries, substring_dedup, vocabulary
+from shelfmark.llm import buffers, flac, queries, substring_dedup, vocabulary
+from tests.llm.test_llm import frame
 
 
 def random_text(n: int) -> str:
@@ -30,6 +31,31 @@ def test_temporaries_of_segments_are_bounded():
     assert peak < 48 << 20
 
 
+def test_temporaries_of_flac_are_bounded():
+    texts = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(60), pa.int64()), "text": pa.array([random_text(50_000 + i) for i in range(60)])})
+    streams = list(flac.to_streams(iter([texts])))
+    for run, given in ((flac.to_streams, [texts]), (flac.to_samples, streams)):
+        gc.collect()
+        tracemalloc.start()
+        rows = 0
+        for batch in run(iter(given)):
+            rows += batch.num_rows
+            assert batch.num_rows == 1 or batch.nbytes < 2 << 20
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == 60 and peak < 36 << 20
+
+
+def test_streams_are_read_by_one_worker_a_task(spark, monkeypatch):
+    """Blocks sent on to another mapInArrow take a second worker beside each task."""
+    back = flac.from_flac(flac.to_flac(frame(spark, ["a" * 700])).localCheckpoint())
+    assert back._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    calls = []
+    monkeypatch.setattr(buffers, "give_back", lambda: calls.append(1))
+    texts = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a" * 700]})
+    assert [r["payload"][0].as_py()[:700] for r in flac.to_samples(flac.to_streams(iter([texts])))] == [b"a" * 700] and calls == [1, 1]
+
+
 @pytest.mark.parametrize("stop_early", [False, True])
 def test_memory_is_given_back_when_a_task_ends(monkeypatch, stop_early):
     calls = []
