@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfmark.llm import buffers, exact_dedup, language_id, near_dedup, packing, pieces, queries, shingles, substring_dedup, token_counts, warc
@@ -180,6 +181,35 @@ def test_substring_dedup_where_joins_are_planned_anew(spark, broadcast):
         assert got[i] == "".join(c for c, k in zip(t, keep, strict=True) if k)
 
 
+def test_substring_dedup_splits_the_joins_of_one_hot_anchor(spark, monkeypatch):
+    r = random.Random(7)
+    some = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    passage = some(60)
+    rows = [some(30) + passage + some(30) for _ in range(3000)]
+    share = {}
+
+    def watched(df, name):
+        out = materialise(df, name)
+        if name in ("repeat-met", "repeat-shared"):
+            hot = out.groupBy("anchor").count().orderBy("count", ascending=False).first()
+            parts = out.filter(out.anchor == hot.anchor).groupBy(F.input_file_name()).count().collect()
+            share[name] = max(p["count"] for p in parts) / hot["count"]
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialise", watched)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.01", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = [(x.n_removed, bytes(x.kept).decode()) for x in substring_dedup.substring_dedup(frame(spark, rows).repartition(8), least=50).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(rows) and all(n >= 60 and passage not in t for n, t in got)
+    assert set(share) == {"repeat-met", "repeat-shared"} and max(share.values()) < 0.6, share
+
+
 def test_substring_dedup_keeps_characters_whole_if_asked(spark):
     a = "é" * 100
     docs = frame(spark, ["x" + a + "ü", "y" + a + "ö", "a genuine � stays"])
