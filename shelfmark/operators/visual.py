@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.contracts import IMAGE_HASHES, VISUAL_PAIRS, check_schema, conform, demand, repeated, violations
@@ -28,7 +31,8 @@ def hamming_pairs(hashes: DataFrame, radius: int = 6, agreeing: int = 3) -> Data
     64 bits in radius + agreeing bands: hashes that differ in radius bits agree in `agreeing` bands at least, so an
     equi-join on every choice of that many bands finds every pair.  More bands make keys longer (21 bits of 64 by default,
     27 with four) and their choices more (84, 210): a row goes to each of them, but meets only 1 in 2^21 of the others
-    there by chance.  Bits are compared before pairs are made distinct.
+    there by chance.  Bits are compared before pairs are made distinct.  Both sides are dealt by key and merged: Spark takes
+    the size of the hashes for that of their keys, 84 times as many, and would send these through the driver.
     """
     bands = radius + agreeing
     cuts = [64 * i // bands for i in range(bands + 1)]
@@ -36,7 +40,7 @@ def hamming_pairs(hashes: DataFrame, radius: int = 6, agreeing: int = 3) -> Data
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     choices = [signed(sum(masks[i] for i in chosen)) for chosen in combinations(range(bands), agreeing)]
     keys = F.transform(F.array(*map(F.lit, choices)), lambda mask: F.struct(mask.alias("mask"), F.col("h").bitwiseAND(mask).alias("bits")))
-    split = hashes.select("h").distinct().select("h", F.explode(keys).alias("k")).select("h", "k.mask", "k.bits")
+    split = hashes.select("h").distinct().select("h", F.explode(keys).alias("k")).select("h", "k.mask", "k.bits").hint("merge")
     a, b = split.alias("a"), split.alias("b")
     near = F.expr("a.mask = b.mask and a.bits = b.bits and a.h < b.h") & (hamming(F.col("a.h"), F.col("b.h")) <= radius)
     return a.join(b, near).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"), hamming(F.col("a.h"), F.col("b.h")).alias("distance")).distinct()
@@ -65,6 +69,63 @@ def exact_pairs(images: DataFrame, most_products: int = 20) -> DataFrame:
     return trusted.unionByName(star)
 
 
+#: Kinds of two perceptual hashes meet row by row up to so many pairs, beyond it in blocks of so many kinds.
+HOT_PAIRS, BLOCK_KINDS = 1 << 12, 1 << 15
+#: Kinds of a block that meet the other block at once.
+TILE_KINDS = 16
+
+
+def _near_in_blocks(links: DataFrame, kinds: DataFrame, radius: int) -> DataFrame:
+    """(lk, rk, pd, dd): kinds of the links' two hashes (a, b, distance, na, nb) whose difference hashes are within radius.
+
+    A hash that very many kinds share would bring them all together in one key.  Each block of its kinds is packed into one
+    row, and two blocks meet in a task, bit by bit; a hash's blocks meet each other once, and give both orders.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_KINDS).cast("int")
+    sized = links.select(F.col("a").alias("p"), blocks("na").alias("n")).union(links.select("b", blocks("nb"))).distinct()
+    dealt = kinds.join(sized, "p").withColumn("block", F.pmod(F.xxhash64("d", "width", "height"), F.col("n")).cast("int"))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        d, w, h = (rows.column(c).to_numpy() for c in ("d", "width", "height"))
+        return pa.table({"p": rows.column("p").slice(0, 1), "block": rows.column("block").slice(0, 1), "kinds": pa.array([d.astype("<i8").tobytes() + w.astype("<i4").tobytes() + h.astype("<i4").tobytes()], pa.binary())})
+
+    packed = materialise(dealt.select("p", "block", "d", "width", "height").groupBy("p", "block").applyInArrow(pack, "p long, block int, kinds binary"), "hash-blocks")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    plan = links.select("a", "b", "distance", each("na").alias("i"), "nb").select("a", "b", "distance", "i", each("nb").alias("j")).filter("a <> b or i <= j")
+    side = lambda p, block, name: packed.select(F.col("p").alias(p), F.col("block").alias(block), F.col("kinds").alias(name)).hint("merge")
+    met = plan.join(side("a", "i", "left"), ["a", "i"]).join(side("b", "j", "right"), ["b", "j"])
+    met = met.repartition(2 * kinds.sparkSession.sparkContext.defaultParallelism, "a", "b", "i", "j")
+
+    def unpack(data: pa.Scalar) -> list[np.ndarray]:
+        raw = data.as_buffer()
+        n = raw.size // 16
+        return [np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i4", n, 8 * n), np.frombuffer(raw, "<i4", n, 12 * n)]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b, distance, i, j = (batch.column(c)[k].as_py() for c in ("a", "b", "distance", "i", "j"))
+                left, right = (unpack(batch.column(c)[k]) for c in ("left", "right"))
+                x, y = left[0].view(np.uint64), right[0].view(np.uint64)
+                for at in range(0, len(x), TILE_KINDS):
+                    bits = np.bitwise_count(x[at : at + TILE_KINDS, None] ^ y[None, :])
+                    row, col = np.nonzero(bits <= radius)
+                    if not len(row):
+                        continue
+                    dd = bits[row, col].astype(np.int32)
+                    sides = [(a, [v[at + row] for v in left]), (b, [v[col] for v in right])]
+                    for (p, u), (q, v) in (sides, sides[::-1]) if a == b and i < j else (sides,):
+                        n = len(row)
+                        yield pa.RecordBatch.from_arrays([pa.array(z) for z in (np.full(n, p), *u, np.full(n, q), *v, np.full(n, distance, np.int32), dd)], _MET)
+
+    parts = met.select("a", "b", "distance", "i", "j", "left", "right").mapInArrow(meet, "lp long, ld long, lw int, lh int, rp long, rd long, rw int, rh int, pd int, dd int")
+    kind = lambda s: F.struct(*[F.col(f"{s}{c[0]}").alias(c) for c in ("p", "d", "width", "height")])
+    return parts.select(kind("l").alias("lk"), kind("r").alias("rk"), "pd", "dd")
+
+
+_MET = ["lp", "ld", "lw", "lh", "rp", "rd", "rw", "rh", "pd", "dd"]
+
+
 def near_pairs(images: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Image pairs of different files and products within the candidate limits, with their distances.
 
@@ -76,11 +137,18 @@ def near_pairs(images: DataFrame, limits: Limits = Limits()) -> DataFrame:
     kind = ["p", "d", "width", "height"]
     kinds = materialise(keyed.select(*kind).distinct(), "hash-kinds")
     apart = hamming_pairs(kinds.select(F.col("p").alias("h")), p)
-    same = kinds.select(F.col("p").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("distance"))
-    l, r = kinds.alias("l"), kinds.alias("r")  # noqa: E741
+    sizes = kinds.groupBy("p").agg(F.count("*").alias("n"))
+    same = sizes.select(F.col("p").alias("a"), F.col("p").alias("b"), F.lit(0).alias("distance"))
+    counted = lambda side: sizes.select(F.col("p").alias(side), F.col("n").alias(f"n{side}")).hint("merge")
+    links = materialise(apart.unionByName(same).join(counted("a"), "a").join(counted("b"), "b"), "hash-links")
+    many = F.col("na") * F.col("nb") > HOT_PAIRS
+    l, r = kinds.hint("merge").alias("l"), kinds.hint("merge").alias("r")  # noqa: E741
     delta = aspect_delta(F.col("l.width"), F.col("l.height"), F.col("r.width"), F.col("r.height"))
-    met = apart.unionByName(same).alias("h").join(l, F.expr("h.a = l.p")).join(r, F.expr("h.b = r.p") & (delta <= a) & (hamming("l.d", "r.d") <= d))
-    near = materialise(met.select(F.struct("l.*").alias("lk"), F.struct("r.*").alias("rk"), F.col("h.distance").alias("pd"), hamming("l.d", "r.d").alias("dd"), delta.alias("ad")), "hash-pairs")
+    met = links.filter(~many).alias("h").join(l, F.expr("h.a = l.p")).join(r, F.expr("h.b = r.p") & (delta <= a) & (hamming("l.d", "r.d") <= d))
+    few = met.select(F.struct("l.*").alias("lk"), F.struct("r.*").alias("rk"), F.col("h.distance").alias("pd"), hamming("l.d", "r.d").alias("dd"), delta.alias("ad"))
+    delta = aspect_delta(F.col("lk.width"), F.col("lk.height"), F.col("rk.width"), F.col("rk.height"))
+    hot = _near_in_blocks(links.filter(many), kinds, d).withColumn("ad", delta).filter(F.col("ad") <= a)
+    near = materialise(few.unionByName(hot), "hash-pairs")
     rows = keyed.select(F.struct(*kind).alias("k"), "id", "image_index", "relative_path", "file_sha256")
     wanted = F.expr("h.rk = r.k and l.id <> r.id and l.file_sha256 <> r.file_sha256 and (h.lk.p <> h.rk.p or l.relative_path < r.relative_path)")
     found = near.alias("h").join(rows.alias("l"), F.expr("h.lk = l.k")).join(rows.alias("r"), wanted)
