@@ -6,11 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Bytes of vectors that are sent to every task at most; beyond it, vectors are compared block by block.
+from shelfmark.sources.scratch import materialise
+
+#: Bytes of packed vectors that a task reads beside its queries at most.
 MOST_BROADCAST = 64 << 20
 BLOCK_ROWS = 4096
+#: Queries and others whose distances a task holds at once.
+TILE = (256, 4096)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -18,50 +23,99 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm == 0, 1, norm)
 
 
+Best = tuple[np.ndarray, np.ndarray]
+
+
+def _none(n: int, k: int) -> Best:
+    return np.full((n, k), np.inf), np.zeros((n, k), np.int64)
+
+
+def _meet(folds: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other_folds: np.ndarray, y: np.ndarray, best: Best) -> None:
+    """Brings best (distances, ids) of the queries up to date with the others: cosine, ties by id, none of the own fold.
+
+    Only those that come within the k-th distance so far are rounded and sorted; tiles are of a fixed size.
+    """
+    k = best[0].shape[1]
+    for at in range(0, len(x), TILE[0]):
+        far, near = (v[at : at + TILE[0]] for v in best)
+        own = folds[at : at + TILE[0]]
+        for start in range(0, len(y), TILE[1]):
+            ids, theirs = other_ids[start : start + TILE[1]], other_folds[start : start + TILE[1]]
+            alike = x[at : at + TILE[0]] @ y[start : start + TILE[1]].T
+            least = 1 - far[:, -1] - 1e-9
+            if np.isinf(least).any() and len(ids) > k:
+                open_ = np.flatnonzero(np.isinf(least))
+                other = np.where(own[open_, None] == theirs[None, :], -np.inf, alike[open_])
+                least[open_] = np.partition(other, -k, axis=1)[:, -k] - 1e-9
+            row, col = np.nonzero(alike >= least[:, None])
+            fits = own[row] != theirs[col]
+            row, col = row[fits], col[fits]
+            if not len(row):
+                continue
+            touched = np.unique(row)
+            rows = np.concatenate([np.repeat(touched, k), row])
+            dist = np.concatenate([far[touched].ravel(), np.round(1 - alike[row, col], 9)])
+            them = np.concatenate([near[touched].ravel(), ids[col]])
+            order = np.lexsort((them, dist, rows))
+            first = np.searchsorted(rows[order], touched)
+            kept = order[first[:, None] + np.arange(k)]
+            far[touched], near[touched] = dist[kept], them[kept]
+
+
+def _found(ids: np.ndarray, best: Best) -> dict[str, np.ndarray]:
+    row, col = np.nonzero(np.isfinite(best[0]))
+    return {"id": ids[row], "neighbor": best[1][row, col], "distance": best[0][row, col]}
+
+
 def _best(ids: np.ndarray, folds: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other_folds: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
     """The k nearest of the others by cosine distance, ties by id, none of the own fold."""
-    out = []
-    order = np.argsort(other_ids, kind="stable")
-    other_ids, other_folds, y = other_ids[order], other_folds[order], y[order]
-    for at in range(0, len(ids), 512):
-        far = np.round(1 - x[at : at + 512] @ y.T, 9)
-        far[folds[at : at + 512, None] == other_folds[None, :]] = np.inf
-        near = np.argsort(far, axis=1, kind="stable")[:, :k]
-        dist = np.take_along_axis(far, near, 1)
-        row, col = np.nonzero(np.isfinite(dist))
-        out.append(pd.DataFrame({"id": ids[at + row], "neighbor": other_ids[near[row, col]], "distance": dist[row, col]}))
-    return pd.concat(out) if out else pd.DataFrame({"id": [], "neighbor": [], "distance": []})
+    best = _none(len(ids), k)
+    _meet(folds, x, other_ids, other_folds, y, best)
+    return pd.DataFrame(_found(ids, best))
 
 
 def fold_safe_neighbors(vectors: DataFrame, k: int = 10) -> DataFrame:
     """(id, rank, neighbor, distance) of vectors (id, fold, vector): exact, cosine, only neighbours of other folds.
 
-    Vectors up to MOST_BROADCAST in all go to every task.  More are dealt into blocks; each block of queries meets each
-    block of others, keeps its k best, and these are merged: no task holds more than two blocks.
+    Vectors are packed into blocks of 2 * BLOCK_ROWS, one row each.  A task takes some blocks as queries and lets others of
+    up to MOST_BROADCAST bytes pass by one after the other, keeping each query's k best: it holds two blocks and a tile of
+    distances, whatever the number of vectors, and only each task's best are shuffled.
     """
-    schema = "id long, neighbor long, distance double"
+    spark = vectors.sparkSession
     size = vectors.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    n, width = size.n, size.d or 0
-    unpack = lambda df: (df["id"].to_numpy(), df["fold"].to_numpy(), _unit(np.array(df["vector"].tolist(), float).reshape(len(df), width)))
-    if n * width * 8 <= MOST_BROADCAST:
-        whole = vectors.select("id", "fold", "vector").toPandas()
-        sent = vectors.sparkSession.sparkContext.broadcast(unpack(whole) if n else (np.zeros(0, int), np.zeros(0, int), np.zeros((0, 1))))
-
-        def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                yield _best(*unpack(part), *sent.value, k)
-
-        found = vectors.select("id", "fold", "vector").mapInPandas(search, schema)
-    else:
-        blocks = -(-n // BLOCK_ROWS)
-        dealt = vectors.select("id", "fold", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-        queries = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("block", "own")
-        others = dealt.select(F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("own"), "id", "fold", "vector")
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            return _best(*unpack(a), *unpack(b), k) if len(a) and len(b) else pd.DataFrame({"id": [], "neighbor": [], "distance": []})
-
-        found = queries.groupBy("own", "other").cogroup(others.groupBy("own", "other")).applyInPandas(meet, schema)
+    n, width = size.n, max(size.d or 0, 1)
+    blocks = max(1, -(-n // (2 * BLOCK_ROWS)))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        x = rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, width)
+        parts = [rows.column(c).to_numpy().astype("<i8").tobytes() for c in ("id", "fold")]
+        return pa.table({"block": rows.column("block").slice(0, 1), "data": pa.array([b"".join([*parts, _unit(x).astype("<f8").tobytes()])], pa.binary())})
+
+    def unpack(data: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = data.as_buffer()
+        m = raw.size // (8 * (width + 2))
+        return np.frombuffer(raw, "<i8", m), np.frombuffer(raw, "<i8", m, 8 * m), np.frombuffer(raw, "<f8", m * width, 16 * m).reshape(m, width)
+
+    dealt = vectors.select("id", "fold", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    packed = materialise(dealt.groupBy("block").applyInArrow(pack, "block int, data binary"), "vectors")
+    parts = min(blocks, -(-n * width * 8 // max(MOST_BROADCAST, 1)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, best = None, None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (block := batch.column("block")[i].as_py()) != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_pydict(_found(own[0], best))
+                    now, own = block, [v.copy() for v in unpack(batch.column("data")[i])]
+                    best = _none(len(own[0]), k)
+                _meet(own[1], own[2], *unpack(batch.column("others")[i]), best)
+        if now is not None:
+            yield pa.RecordBatch.from_pydict(_found(own[0], best))
+
+    queries = packed.repartition(min(blocks, 2 * spark.sparkContext.defaultParallelism), "block")
+    others = packed.select(F.col("data").alias("others")).repartition(max(1, parts)).hint("shuffle_replicate_nl")  # blocks by blocks
+    found = queries.crossJoin(others).mapInArrow(search, "id long, neighbor long, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "neighbor", "distance")
 

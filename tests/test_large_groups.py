@@ -1,10 +1,12 @@
 import itertools
 import random
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from shelfmark.contracts import IMAGE_HASHES
-from shelfmark.operators import visual
+from shelfmark.operators import retrieval, visual
 
 
 def plan(df):
@@ -38,3 +40,31 @@ def test_a_hash_of_very_many_kinds_is_compared_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(visual, "TILE_KINDS", tile)
         got = [(r.left_path, r.right_path, r.pd, r.dd) for r in visual.near_pairs(images).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_neighbours_hold_a_tile_of_distances(spark, monkeypatch):
+    """Many blocks, tiles and ties; the distances of a query batch to all vectors are never held at once."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(230, 6)).round(1)
+    x[100:160] = x[:60]  # equal vectors: ties by id
+    x[7] = 0
+    rows = [(i * 3, i % 4 if i < 200 else 9, x[i].tolist()) for i in range(len(x))]
+    v = spark.createDataFrame(rows, "id long, fold int, vector array<float>")
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST", 3000)
+    monkeypatch.setattr(retrieval, "TILE", (8, 11))
+    got = {}
+    for n in retrieval.fold_safe_neighbors(v, 5).collect():
+        got.setdefault(n.id, {})[n.rank] = (n.distance, n.neighbor)
+    u = retrieval._unit(x.astype(np.float32).astype(float))
+    for i, (key, fold, _) in enumerate(rows):
+        far = sorted((round(1 - float(u[i] @ u[j]), 9), other) for j, (other, theirs, _) in enumerate(rows) if theirs != fold)[:5]
+        assert [got[key][rank] for rank in range(1, 6)] == far
+    folds, ids = np.zeros(20_000, np.int64), np.arange(20_000)
+    u = retrieval._unit(r.normal(size=(20_000, 8)))
+    monkeypatch.undo()
+    tracemalloc.start()
+    retrieval._best(ids[:512], folds[:512], u[:512], ids, folds + 1, u, 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20
