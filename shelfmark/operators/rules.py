@@ -7,10 +7,11 @@ by tables: which signals make a field true or false, which make a verdict positi
 from __future__ import annotations
 
 import re
+from re import _parser
 from collections.abc import Iterator, Mapping
 from functools import lru_cache, reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.contracts import BASE, check_schema, conform, demand, join_one_to_one, table, violations
@@ -71,11 +72,69 @@ FEATURES = table(
 )
 
 
+#: Rows whose texts a task holds as Python strings at once.
+BATCH_ROWS = 256
+
+
 @lru_cache(maxsize=None)
 def _compiled(pattern: str) -> re.Pattern:
     return re.compile(pattern, re.IGNORECASE)
 
 
+def _needs(items) -> frozenset[str] | None:
+    """Texts of which any match of the parsed pattern holds one at least, in lower case; None where there are none to tell."""
+    found: list[frozenset[str] | None] = []
+    run = ""
+    for op, value in [*items, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            found.append(frozenset([run.lower()]))
+            run = ""
+        if op is _parser.SUBPATTERN:
+            found.append(_needs(value[3]))
+        elif op is _parser.BRANCH:
+            own = [_needs(branch) for branch in value[1]]
+            found.append(None if None in own else frozenset().union(*own))
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT, _parser.POSSESSIVE_REPEAT) and value[0]:
+            found.append(_needs(value[2]))
+    return max((x for x in found if x), key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+@lru_cache(maxsize=None)
+def _needed(pattern: str) -> tuple[str, ...]:
+    return tuple(sorted(_needs(_parser.parse(pattern, re.IGNORECASE)) or ()))
+
+
+@lru_cache(maxsize=None)
+def _variants(patterns: tuple[str, ...]) -> tuple[str, ...]:
+    """Characters that count as another letter of the patterns' needed texts where case is ignored, but are not its upper case: ı for i."""
+    letters = {c for p in patterns for text in _needed(p) for c in text}
+    everything = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    return tuple(sorted({v for c in letters for v in re.findall(f"[{re.escape(c)}]", everything, re.IGNORECASE) if v.lower() != c}))
+
+
+class _Text:
+    """A text that tells at little cost that a pattern has no match in it: the texts that any match needs are looked up once."""
+
+    def __init__(self, text: str, variants: tuple[str, ...]):
+        self.text, self.low, self.seen = text, text.lower(), {}
+        self.plain = not any(v in t for t in {text, self.low} for v in variants)  # the lower case of a text can depend on what stands beside a letter
+
+    def _holds(self, part: str) -> bool:
+        if part not in self.seen:
+            self.seen[part] = part in self.low
+        return self.seen[part]
+
+    def may_match(self, pattern: str) -> bool:
+        needed = _needed(pattern)
+        return not (needed and self.plain) or any(map(self._holds, needed))
+
+    def matches(self, pattern: str) -> Iterator[re.Match]:
+        return _compiled(pattern).finditer(self.text) if self.may_match(pattern) else iter(())
+
+
 def check_signals(signals: Mapping[str, Mapping[str, S.Signal]] = S.SIGNALS, window: int = S.WINDOW) -> None:
     """Raise on a pattern that does not compile, a signal without patterns or a negative window."""
     problems = ["window is negative"] if window < 0 else []
@@ -130,29 +189,41 @@ def read_signals(path: str) -> dict[str, object]:
 
 def phrase_matches(texts: Mapping[str, str], signals: Mapping[str, S.Signal], window: int = S.WINDOW) -> list[tuple[str, str, str, int, int]]:
     """(signal, source, text, start, stop) by signal, source and place; those within window of an excluding phrase are left out."""
+    variants = _variants(tuple(dict.fromkeys(p for s in signals.values() for p in (*s.patterns, *s.excluded_by))))
+    return _phrases({source: _Text(text, variants) for source, text in texts.items()}, signals, window)
+
+
+def _phrases(texts: Mapping[str, _Text], signals: Mapping[str, S.Signal], window: int) -> list[tuple[str, str, str, int, int]]:
     out = []
     for name, signal in signals.items():
         for source, text in texts.items():
-            void = [m.span() for p in signal.excluded_by for m in _compiled(p).finditer(text)]
-            spans = {m.span(): m.group().strip() for p in signal.patterns for m in _compiled(p).finditer(text)}
+            spans = {m.span(): m.group().strip() for p in signal.patterns for m in text.matches(p)}
+            void = [m.span() for p in signal.excluded_by for m in text.matches(p)] if spans else []
             free = sorted(s for s in spans if all(s[1] + window < a or b + window < s[0] for a, b in void))
             out += [(name, source, spans[s], *s) for s in free]
     return out
 
 
 def _matcher(signals: Mapping[str, Mapping[str, S.Signal]], negations: tuple[str, ...], window: int):
-    @F.pandas_udf(MATCHES)
-    def find(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for names, descriptions, categories in parts:
-            rows = []
-            for name, description, category in zip(names, descriptions, categories, strict=True):
-                if category not in signals:
-                    raise ValueError(f"unknown category: {category}")
-                texts = {"name": rule_text(name), "description": rule_text(description)}
-                negated = any(_compiled(p).search(t) for t in texts.values() for p in negations)
-                found = [dict(zip(("signal", "source", "text", "start", "stop"), m, strict=True)) for m in phrase_matches(texts, signals[category], window)]
-                rows.append((found, negated))
-            yield pd.DataFrame(rows, columns=["matches", "negation"])
+    kind = pa.struct([("matches", pa.list_(pa.struct([("signal", pa.string()), ("source", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))), ("negation", pa.bool_())])
+
+    def rows(names: list, descriptions: list, categories: list) -> pa.Array:
+        out = []
+        variants = _variants((*dict.fromkeys(p for own in signals.values() for s in own.values() for p in (*s.patterns, *s.excluded_by)), *negations))
+        for name, description, category in zip(names, descriptions, categories, strict=True):
+            if category not in signals:
+                raise ValueError(f"unknown category: {category}")
+            texts = {"name": _Text(rule_text(name), variants), "description": _Text(rule_text(description), variants)}
+            negated = any(t.may_match(p) and _compiled(p).search(t.text) for t in texts.values() for p in negations)
+            found = [dict(zip(("signal", "source", "text", "start", "stop"), m, strict=True)) for m in _phrases(texts, signals[category], window)]
+            out.append({"matches": found, "negation": negated})
+        return pa.array(out, kind)
+
+    @F.arrow_udf(MATCHES)
+    def find(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for part in parts:
+            done = [rows(*(c.slice(i, BATCH_ROWS).to_pylist() for c in part)) for i in range(0, len(part[0]), BATCH_ROWS)]
+            yield pa.concat_arrays(done) if done else pa.array([], kind)
 
     return find
 
