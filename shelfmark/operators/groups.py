@@ -30,9 +30,11 @@ def _conflicts(rows: DataFrame) -> DataFrame:
 def text_groups(df: DataFrame) -> DataFrame:
     """GROUPS by normalised name and description, whatever the category.
 
-    A group of one row is unique; of rows equal before normalising, exact; else normalized.
+    A group of one row is unique; of rows equal before normalising, exact; else normalized.  Keys are written to the shared
+    folder, so that what follows reads no text.
     """
     keyed = df.select("id", "category", "label", stable_id(signature(normalized_text("name"), normalized_text("description"))).alias("group_id"), F.sha2(signature("name", "description", null="<NULL>"), 256).alias("raw"))
+    keyed = materialise(keyed, "keys")  # it is read several times, and texts are normalised once
     sizes = keyed.groupBy("group_id").agg(F.count("*").alias("group_size"), F.countDistinct("raw").alias("variants"))
     kind = F.when(F.col("group_size") == 1, "unique").when(F.col("variants") == 1, "exact").otherwise("normalized")
     sizes = sizes.select("group_id", "group_size", kind.alias("duplicate_kind"))
