@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmark.contracts import CATEGORIES, LABELS, PRODUCTS, require_columns
 from shelfmark.functions.text import blank, normalized_text, signature
+from shelfmark.sources.scratch import materialise
 
 REQUIRED = tuple(f.name for f in PRODUCTS)
 
@@ -69,25 +70,33 @@ def index_like_columns(df: DataFrame) -> list[str]:
 def _duplicates(df: DataFrame, texts: dict[str, Column], raw: Column) -> DataFrame:
     """Groups of more than one row equal in category and texts; labels keep null as a value of its own, last.
 
-    Rows meet by the digest of their texts.  The texts of a group are those of its row with the least id, joined back once
-    for each group; a group's rows, however many, are counted before they meet.
+    Rows meet by the digest of their texts, which is made once and written to the shared folder.  The texts of a group are
+    those of its row with the least id, joined back once for each group by id and the digest of raw; a group's rows, however
+    many, are counted before they meet.
     """
-    key = F.sha2(F.concat_ws("", *[F.when(t.isNull(), "-").otherwise(F.concat(F.lit("+"), F.length(t).cast("string"), F.lit(":"), t)) for t in texts.values()]), 256)
-    rows = df.select("id", "category", "label", "name", key.alias("_key"), F.sha2(raw, 256).alias("_raw"))
+    key, mark = F.sha2(_whole(texts.values()), 256), F.sha2(raw, 256)
+    rows = materialise(df.select("id", "category", "label", "name", key.alias("_key"), mark.alias("_raw")), "digests")
     parts = rows.groupBy("category", "_key", "_raw").agg(F.count("*").alias("n"))
     sizes = parts.groupBy("category", "_key").agg(F.sum("n").alias("size"), F.count("*").alias("raw_variants")).filter("size > 1")
     labels = F.array_sort(F.collect_set(F.struct(F.col("label").isNull().alias("none"), F.col("label").alias("v"))))
     own = rows.join(sizes.select(F.col("category").alias("_c"), F.col("_key").alias("_k")), F.col("category").eqNullSafe(F.col("_c")) & (F.col("_key") == F.col("_k")), "left_semi")
-    lists = own.groupBy("category", "_key").agg(F.array_sort(F.collect_list("id")).alias("ids"), labels.alias("_l"), F.array_sort(F.collect_set("name")).alias("name_variants"), F.min("id").alias("_first"))
-    one = df.select(F.col("id").alias("_id"), key.alias("_key_of"), *[t.alias(n) for n, t in texts.items()])
+    lists = own.groupBy("category", "_key").agg(F.array_sort(F.collect_list("id")).alias("ids"), labels.alias("_l"), F.array_sort(F.collect_set("name")).alias("name_variants"), F.min(F.struct("id", "_raw")).alias("_first"))
+    one = df.select(F.col("id").alias("_id"), mark.alias("_mark"), "name", "description")
     same = F.col("a.category").eqNullSafe(F.col("b.category")) & (F.col("a._key") == F.col("b._key"))
-    met = lists.alias("a").join(sizes.alias("b"), same).select("a.*", "b.size", "b.raw_variants").join(one, F.col("_first").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_key_of"))).dropDuplicates(["category", "_key"])
-    return met.select("category", *texts, "size", "raw_variants", "ids", "name_variants", F.transform("_l", lambda x: x["v"]).alias("labels"), (F.size("_l") > 1).alias("label_conflict"))
+    met = lists.alias("a").join(sizes.alias("b"), same).select("a.*", "b.size", "b.raw_variants")
+    met = met.join(one, F.col("_first.id").eqNullSafe(F.col("_id")) & (F.col("_first._raw") == F.col("_mark"))).dropDuplicates(["category", "_key"])
+    return met.select("category", *[t.alias(n) for n, t in texts.items()], "size", "raw_variants", "ids", "name_variants", F.transform("_l", lambda x: x["v"]).alias("labels"), (F.size("_l") > 1).alias("label_conflict"))
+
+
+def _whole(texts: Iterable[Column]) -> Column:
+    """The texts as one, null and empty told apart."""
+    return F.concat_ws("", *[F.when(t.isNull(), "-").otherwise(F.concat(F.lit("+"), F.length(t).cast("string"), F.lit(":"), t)) for t in texts])
 
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
     """Rows equal in category, name and description: size, ids, labels, label_conflict."""
-    return _duplicates(df, {"name": F.col("name"), "description": F.col("description")}, F.lit("")).drop("raw_variants", "name_variants")
+    texts = {"name": F.col("name"), "description": F.col("description")}
+    return _duplicates(df, texts, _whole(texts.values())).drop("raw_variants", "name_variants")
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
